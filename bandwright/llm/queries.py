@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwright.llm import neardup, quality, urlfilter
+from bandwright.llm import neardup, packing, quality, tokenfile, urlfilter
 from bandwright.llm.common import table
+from bandwright.llm.tokens import default_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,10 +29,18 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_i
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN m ON m.node = documents.doc_id"""
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file_digest(table(spark, sf_dir, "documents"), default_path(), end_id=2)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces_digest(packing.sequences(table(spark, sf_dir, "documents"), default_path(), end_id=1))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -41,7 +50,8 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_url_filter": op3_url_filter, "op9_quality": op9_quality, "op10_neardup": op10_neardup}
+    found = (op2_token_file, op3_url_filter, op7_packing, op9_quality, op10_neardup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
