@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwright.llm import neardup, packing, quality, tokenfile, urlfilter
+from bandwright.llm import langid, neardup, packing, quality, tokenfile, urlfilter
 from bandwright.llm.common import table
 from bandwright.llm.tokens import default_path
 
@@ -29,6 +29,10 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_i
 FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN m ON m.node = documents.doc_id"""
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file_digest(table(spark, sf_dir, "documents"), default_path(), end_id=2)
 
@@ -50,7 +54,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_token_file, op3_url_filter, op7_packing, op9_quality, op10_neardup)
+    found = (op1_langid, op2_token_file, op3_url_filter, op7_packing, op9_quality, op10_neardup)
     return {f.__name__: f for f in found}
 
 
