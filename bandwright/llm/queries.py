@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwright.llm import langid, neardup, packing, quality, tokenfile, urlfilter
+from bandwright.llm import langid, neardup, packing, quality, tokenfile, urlfilter, warc
 from bandwright.llm.common import table
 from bandwright.llm.tokens import default_path
 
@@ -41,6 +41,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(packing.sequences(table(spark, sf_dir, "documents"), default_path(), end_id=1))
 
@@ -54,9 +58,9 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_langid, op2_token_file, op3_url_filter, op7_packing, op9_quality, op10_neardup)
+    found = (op1_langid, op2_token_file, op3_url_filter, op6_warc, op7_packing, op9_quality, op10_neardup)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.oracle(), "op9_quality": quality.oracle(), "op10_neardup": OP10_SQL}
+    return {"op3_url_filter": urlfilter.oracle(), "op6_warc": warc.ORACLE, "op9_quality": quality.oracle(), "op10_neardup": OP10_SQL}
