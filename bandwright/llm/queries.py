@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwright.llm import langid, neardup, packing, quality, tokenfile, urlfilter, warc
+from bandwright.llm import extract, langid, neardup, packing, quality, tokenfile, urlfilter, warc
 from bandwright.llm.common import table
 from bandwright.llm.tokens import default_path
 
@@ -49,6 +49,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(packing.sequences(table(spark, sf_dir, "documents"), default_path(), end_id=1))
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -58,7 +62,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_langid, op2_token_file, op3_url_filter, op6_warc, op7_packing, op9_quality, op10_neardup)
+    found = (op1_langid, op2_token_file, op3_url_filter, op6_warc, op7_packing, op8_extract, op9_quality, op10_neardup)
     return {f.__name__: f for f in found}
 
 
