@@ -40,6 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys up to which a semi-join with them is broadcast (some tens of bytes each); beyond it Spark shuffles both sides.
+BROADCAST_KEYS = 500_000
+
+
+def only(rows: DataFrame, keys: DataFrame, on: str | list[str] = "doc_id") -> DataFrame:
+    """Rows whose key is among keys, which are distinct and already computed."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only, as the byte-wise lower() of the Python side does."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bandwright.llm.common import WordHashes, batch, cut, grams, mixed, texts_of
+from bandwright.llm.common import WordHashes, batch, cut, grams, mixed, only, texts_of
 
-P, MANTISSA, ROWS = 9, 10, 8
+P, MANTISSA, ROWS = 8, 10, 6
 REGISTERS = 1 << P
 BANDS = REGISTERS // ROWS
 #: Two unequal minima agree on the leading zeros with 1/3 and on the mantissa with 2**-MANTISSA.
@@ -196,16 +196,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     all_sets = cut(sketches(docs, words))
     full = all_sets.where("set_hash is not null and doc_id is not null")
     classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("class_id"))
-    reps = full.join(classes.select("class_id", F.col("set_hash").alias("h")), (F.col("doc_id") == F.col("class_id")) & (F.col("set_hash") == F.col("h")), "left_semi")
-    reps = cut(reps.select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"]))
+    classes = cut(classes)
+    reps = only(full, classes.select(F.col("class_id").alias("doc_id"), "set_hash"), ["doc_id", "set_hash"]).select("doc_id", "n_shingles", "sketch")
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = reps.select("doc_id", F.explode(keys).alias("key"))
     leaders = bands.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1").drop("size")
     shared = cut(bands.join(leaders, "key"))
     pairs = shared.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    members = shared.select("doc_id").distinct()
+    members = cut(shared.select("doc_id").distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = cut(texts.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]).join(reps, "doc_id"))
+    texts = cut(only(texts, members).join(only(reps, members), "doc_id").dropDuplicates(["doc_id"]))
     links = cut(confirmed(pairs, texts, words, percent))
     roots = components(links)
     placed = shared.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
