@@ -49,6 +49,11 @@ def only(rows: DataFrame, keys: DataFrame, on: str | list[str] = "doc_id") -> Da
     return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_semi")
 
 
+def all_but(rows: DataFrame, keys: DataFrame, on: str | list[str] | Column = "doc_id") -> DataFrame:
+    """Rows whose key is not among keys, which are distinct and already computed."""
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, "left_anti")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only, as the byte-wise lower() of the Python side does."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bandwright.llm.common import WordHashes, batch, cut, grams, mixed, only, texts_of
+from bandwright.llm.common import WordHashes, all_but, batch, cut, grams, mixed, only, texts_of
 
 P, MANTISSA, ROWS = 8, 10, 6
 REGISTERS = 1 << P
@@ -218,3 +218,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     out = all_sets.drop("sketch").join(by_class, "set_hash", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each near-duplicate class, the one with the least id; all columns stay.
+
+    Rows without words or without an id stay. Rows that repeat an id share its fate.
+    """
+    gone = cut(near_duplicates(docs, words, percent).where("not kept").select("doc_id").distinct())
+    return all_but(docs, gone)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwright.llm import extract, langid, neardup, packing, quality, substring, tokenfile, urlfilter, warc
+from bandwright.llm import decontaminate, extract, langid, neardup, packing, quality, substring, tokenfile, urlfilter, warc
 from bandwright.llm.common import table
 from bandwright.llm.tokens import default_path
 
@@ -45,6 +45,10 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -66,7 +70,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_langid, op2_token_file, op3_url_filter, op4_substring, op6_warc, op7_packing, op8_extract, op9_quality, op10_neardup)
+    found = (op1_langid, op2_token_file, op3_url_filter, op4_substring, op5_decontaminate, op6_warc, op7_packing, op8_extract, op9_quality, op10_neardup)
     return {f.__name__: f for f in found}
 
 
