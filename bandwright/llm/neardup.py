@@ -170,20 +170,24 @@ def prefix_pairs(texts: DataFrame, roots: DataFrame, words: int, percent: int) -
     """Exact candidates between different components: two sets at the threshold share one of the rarest tokens of each.
 
     Of a set of n the n - ceil(percent * n / 100) + 1 rarest tokens (over these texts) are kept. For each token, members
-    outside its largest component meet all members of other components.
+    outside its largest component meet all members of other components, but only where the tokens from this one on can
+    still make up the overlap that the two sizes ask for: the first common token of a true pair always passes.
     """
     t = set_tokens(texts, words).select("doc_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     df = t.groupBy("token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "token"))
     keep = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     kept = t.join(df.where("df > 1"), "token", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", rank).where(F.col("rank") <= keep).where("df > 1")
-    kept = cut(kept.select("doc_id", "token").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+    kept = cut(kept.select("doc_id", "token", "n", (F.col("n") - F.col("rank") + 1).alias("rest")).join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
     sizes = kept.groupBy("token", "root").agg(F.count("*").alias("size"))
     mixed_tokens = sizes.groupBy("token").agg(F.max_by("root", "size").alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     inside = kept.join(mixed_tokens, "token")
-    u = inside.where("root <> main").select("token", F.col("doc_id").alias("a"), F.col("root").alias("root_a"))
-    v = inside.select("token", F.col("doc_id").alias("b"), F.col("root").alias("root_b"))
-    return u.join(v, "token").where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    u = inside.where("root <> main").select(F.col("token").alias("t"), *(F.col(c).alias(f"{c}_a") for c in ("doc_id", "root", "n", "rest")))
+    v = inside.select("token", *(F.col(c).alias(f"{c}_b") for c in ("doc_id", "root", "n", "rest")))
+    # intersection >= percent / (100 + percent) * (n_a + n_b)
+    possible = F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    met = u.join(v, (F.col("t") == F.col("token")) & (F.col("root_a") != F.col("root_b")) & possible)
+    return met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
