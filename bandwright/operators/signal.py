@@ -145,7 +145,7 @@ def gabor(stream: DataFrame, rate: int, step: int) -> DataFrame:
     each = stream.withColumn("s", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(d).alias("den"), F.lit(e).alias("reach")) for k, d, e in scales))))
     first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("s.reach")) / step) - 1)
     last = F.least(F.floor((F.col("n") - 1) / step), F.floor((F.col("pos") + F.col("s.reach")) / step) + 1)
-    each = each.where(first <= last).withColumn("u", F.explode(F.sequence(first, last)) * step)
+    each = each.where(first <= last).withColumn("hop", F.explode(F.sequence(first, last))).withColumn("u", F.col("hop") * step)
     start, stop = F.greatest(F.lit(0), F.floor(F.col("u") - F.col("s.reach"))), F.floor(F.col("u") + F.col("s.reach"))
     each = each.where((F.col("pos") >= start) & (F.col("pos") < stop))
     t = (F.col("pos") - F.col("u")) / rate / F.col("s.den")
