@@ -16,6 +16,8 @@ import numpy as np
 #: Punctuation of which a run may end a word of letters on the direct way. No apostrophe: the vocabulary treats it apart.
 ENDS = b".,;:!?#$%&*|+=-"
 LATIN = frozenset("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß")
+#: How special tokens start.
+SPECIAL = b"<|"
 #: Words handed to the library at once.
 AT_ONCE = 512
 
@@ -41,6 +43,7 @@ class WordTokenizer:
         self.letters = {k: v for k, v in byte_alphabet().items() if k != 0x20}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.ends: dict[bytes, bytes] = {}
         self.direct = False
         probe = [w.encode() for w in ("the", "Élève", "straße,", "ÖL.", "Mañana!", "a", "Œuvre", "x1", "stop!!", "##$$", "a+=-")]
         whole = [self.whole(w) for w in probe]
@@ -84,14 +87,26 @@ class WordTokenizer:
                 out[i] = ids[starts[k] : starts[k + 1]]
         return out
 
+    def end(self, run: bytes) -> bytes:
+        """The ids of a run of punctuation."""
+        found = self.ends.get(run)
+        if found is None:
+            if len(self.ends) >= AT_ONCE:
+                self.ends.clear()
+            found = self.ends[run] = self.fresh([run])[0]
+        return found
+
     def learn(self, words: Iterable[bytes]) -> None:
-        missing = []
-        for w in dict.fromkeys(words):
-            if w not in self.young:
-                if w in self.old:
-                    self.young[w] = self.old[w]
-                else:
-                    missing.append(w)
+        young, old, missing = self.young, self.old, []
+        for w in set(words).difference(young):
+            if w in old:
+                young[w] = old[w]
+                continue
+            body = w.rstrip(ENDS)
+            if len(body) < len(w) and self.direct and body.isalpha() and (known := young.get(body) or old.get(body)):
+                young[w] = known + self.end(w[len(body) :])
+            else:
+                missing.append(w)
         for i in range(0, len(missing), AT_ONCE):
             part = missing[i : i + AT_ONCE]
             self.young.update(zip(part, self.fresh(part), strict=True))
@@ -101,6 +116,8 @@ class WordTokenizer:
         pending: list[list[bytes]] = []
         size = 0
         for text in texts:
+            if SPECIAL not in text:  # the vocabulary ignores case but in its special tokens
+                text = text.lower()
             pending.append(words := text.split())
             size += len(words)
             if size >= 8 * AT_ONCE:
