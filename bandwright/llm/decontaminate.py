@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from bandwright.llm.common import all_but, batch, cut, grams, texts_of
 from bandwright.llm.passages import PlainHashes
 
-N, SEED_STRIDE = 3, 4
+N, SEED_STRIDE = 3, 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.45
 #: Characters of test items that one block holds at most in expectation; blocks are broadcast.

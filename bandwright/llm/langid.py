@@ -214,8 +214,8 @@ class Identifier:
         self.limits = np.full(len(model.languages), np.inf)
         for j in range(len(model.languages)):
             own = e[right == j, j]
-            if len(own) >= 20:
-                self.limits[j] = np.quantile(own, ADMITTED) + 0.25
+            if len(own):  # few texts say little about the tail
+                self.limits[j] = np.quantile(own, ADMITTED) + 0.25 if len(own) >= 20 else own.max() + 0.5
         margin, best = self.margin(e), e.argmin(axis=1) if len(e) else np.empty(0, int)
         self.edges = np.quantile(margin, np.linspace(0, 1, BINS + 1)[1:-1]) if len(margin) else np.empty(0)
         bin_ = np.searchsorted(self.edges, margin)
