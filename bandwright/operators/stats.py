@@ -76,8 +76,8 @@ def clip_limits(cells: DataFrame, steps: int = 100, share: float = 0.95) -> Data
     span = F.col("most") - F.col("least")
     guess = F.when(span == 0, F.lit(0)).otherwise(F.floor((F.col("value") - F.col("least")) / span * steps))
     at = lambda s: F.col("least") + span * s / steps
-    below = F.when(at(guess + 1) < F.col("value"), guess + 2).when(at(guess) < F.col("value"), guess + 1).when(at(guess - 1) < F.col("value"), guess).otherwise(guess - 1)
-    up_to = F.when(at(guess + 1) <= F.col("value"), guess + 2).when(at(guess) <= F.col("value"), guess + 1).when(at(guess - 1) <= F.col("value"), guess).otherwise(guess - 1)
+    below = F.when(span == 0, F.lit(0)).when(at(guess + 1) < F.col("value"), guess + 2).when(at(guess) < F.col("value"), guess + 1).when(at(guess - 1) < F.col("value"), guess).otherwise(guess - 1)
+    up_to = F.when(span == 0, F.lit(steps + 1)).when(at(guess + 1) <= F.col("value"), guess + 2).when(at(guess) <= F.col("value"), guess + 1).when(at(guess - 1) <= F.col("value"), guess).otherwise(guess - 1)
     above = met.groupBy(below.alias("s")).agg(F.count("*").alias("c"))  # value exceeds the first s thresholds
     under = met.groupBy(up_to.alias("s")).agg(F.count("*").alias("c"))  # value is below all thresholds from s on
     all_above = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)  # at most steps + 1 rows

@@ -230,7 +230,7 @@ DWT_ROUND_TRIP = f"WITH {_VEC} SELECT track_id, k, round(x, 5) + 0e0 AS x FROM v
 GABOR = """WITH pos AS (SELECT user_id AS track_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 scale AS (SELECT CAST(k AS INTEGER) AS k, pow(2, -k / 12e0) AS den, sqrt(2 * ln(1e4)) * pow(2, -k / 12e0) * 400 AS reach FROM range(24, 12 * CAST(floor(log2(200 / 16.352e0)) AS BIGINT)) AS r(k)),
 hop AS (SELECT DISTINCT track_id, pos AS u FROM pos WHERE pos % 16 = 0),
-t AS (SELECT at.track_id, k, u, den, (pos - u) / 400e0 / den AS t, value FROM hop JOIN pos USING (track_id), scale WHERE pos >= greatest(0, floor(u - reach)) AND pos < floor(u + reach))
+t AS (SELECT hop.track_id, k, u, den, (pos - u) / 400e0 / den AS t, value FROM hop JOIN pos USING (track_id), scale WHERE pos >= greatest(0, floor(u - reach)) AND pos < floor(u + reach))
 SELECT track_id, k, u, round(sqrt(pow(sum(exp(-0.5e0 * t * t) / sqrt(den) * value * cos(2 * pi() * 16.352e0 * t)), 2) + pow(sum(exp(-0.5e0 * t * t) / sqrt(den) * value * sin(2 * pi() * 16.352e0 * t)), 2)), 4) AS power FROM t GROUP BY ALL"""
 
 # Clusters
