@@ -149,3 +149,18 @@ def read_legacy(spark: SparkSession, path: str, config: EngineConfig = DEFAULT)
                 yield pd.DataFrame([(*r, False) for r in rows], columns=["fname", "title", "artist", "album", "track", "length", "spect_hist", "exclude"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, LEGACY)
+
+
+def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
+    """Rate and mono samples of a RIFF wave file with whole-byte PCM."""
+    import io
+    import wave
+
+    with wave.open(io.BytesIO(data)) as w:
+        kinds = {1: "u8", 2: "s16", 4: "s32"}
+        if w.getsampwidth() not in kinds:
+            raise ValueError(f"{8 * w.getsampwidth()}-bit samples are not supported")
+        return w.getframerate(), mono(w.readframes(w.getnframes()), kinds[w.getsampwidth()], w.getnchannels())
+
+
+register("wav", decode_wav)
