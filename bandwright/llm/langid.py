@@ -32,7 +32,9 @@ ADMITTED = 0.995
 BINS = 40
 LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Words of which a worker keeps the scores at hand.
-AT_HAND = 200_000
+AT_HAND = 400_000
+#: Words of texts that are scored together.
+TOGETHER = 20_000
 
 
 def words_of(text: str) -> list[str]:
@@ -193,11 +195,14 @@ class Scorer:
             self.sizes[first + i : first + i + len(part)] = [len(w) + 1 for w in part]
         self.rows.update(zip(new, range(first, first + len(new)), strict=True))
 
-    def entropies(self, words: list[str]) -> np.ndarray:
-        """Nats per character for each language."""
-        self.learn(words)
-        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-        return -self.table[at].sum(axis=0) / self.sizes[at].sum()
+    def entropies(self, texts: list[list[str]]) -> np.ndarray:
+        """Nats per character of each text (its words, not empty), a column for each language."""
+        self.learn([w for words in texts for w in words])
+        out = np.empty((len(texts), self.table.shape[1]))
+        for i, words in enumerate(texts):
+            at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+            out[i] = -self.table[at].sum(axis=0) / self.sizes[at].sum()
+        return out
 
 
 class Identifier:
@@ -208,7 +213,7 @@ class Identifier:
         scorer, entropies, right = Scorer(model), [], []
         for text, lang in labelled:
             if words := words_of(text):
-                entropies.append(scorer.entropies(words))
+                entropies.append(scorer.entropies([words])[0])
                 right.append(model.languages.index(lang))
         e, right = np.array(entropies).reshape(-1, len(model.languages)), np.array(right, int)
         self.limits = np.full(len(model.languages), np.inf)
@@ -270,14 +275,16 @@ def predict(docs: DataFrame, identifier: Identifier | None) -> DataFrame:
         known = shared.value
         scorer = Scorer(known.model) if known else None
         for b in batches:
-            out = []
-            for text in texts_of(b.column(1)):
+            out, waiting, size = [("und", 0.0, None, False)] * b.num_rows, {}, 0
+            for i, text in enumerate(texts_of(b.column(1))):
                 words = words_of(text.decode()) if known else []
                 if len(words) > 9 or any(c.isalpha() for w in words for c in w):
-                    j, score, entropy, fits = known.judge(scorer.entropies(words))
-                    out.append((known.model.languages[j], score, entropy, fits))
-                else:
-                    out.append(("und", 0.0, None, False))
+                    waiting[i], size = words, size + len(words)
+                if waiting and (size >= TOGETHER or i == b.num_rows - 1):
+                    for k, e in zip(waiting, scorer.entropies([*waiting.values()]), strict=True):
+                        j, score, entropy, fits = known.judge(e)
+                        out[k] = known.model.languages[j], score, entropy, fits
+                    waiting, size = {}, 0
             lang, score, entropy, fits = zip(*out, strict=True) if out else ((), (), (), ())
             yield batch(schema, doc_id=b.column(0), lang_pred=lang, score=score, cross_entropy=entropy, accepted=fits)
 
