@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bandwright.functions import distances
 from bandwright.operators import catalog, cluster, frames, ingest, pairs, radio, signal, similarity, stats
 
 
@@ -60,6 +61,20 @@ def test_pairs(spark):
     assert t.count() == 28 and pairs.mirrored(t, points(spark)).count() == 64
     assert pairs.ordered(t).first()["dist"] == pytest.approx(0.5)
     assert pairs.printed(t).count() == 7
+    plain = pairs.triangle(points(spark), distances.euclidean, blocks=3)
+    assert {(r["i"], r["j"], round(r["dist"], 9)) for r in plain.collect()} == {(r["i"], r["j"], round(r["dist"], 9)) for r in t.collect()}
+
+
+@pytest.mark.parametrize("name", list(distances.REGISTRY))
+def test_kernels_equal_expressions(spark, name):
+    rng = np.random.default_rng(2)
+    h = rng.random((9, 2, 5)) ** 4
+    h /= h.sum(-1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(h)], "track_id long, hist array<array<double>>")
+    found = {(r["i"], r["j"]): r["dist"] for r in pairs.triangle(df, name).collect()}
+    a, b = (df.select(F.col("track_id").alias(k), F.col("hist").alias("h" + k)) for k in "ij")
+    rows = a.join(b, F.col("i") > F.col("j")).select("i", "j", distances.total(name)(F.col("hi"), F.col("hj")).alias("d")).collect()
+    assert len(found) == 36 and all(found[r["i"], r["j"]] == pytest.approx(r["d"], abs=1e-9) for r in rows)
 
 
 def test_kmeans_fixture(spark):
