@@ -104,8 +104,8 @@ def decode_pcm(files: DataFrame, encoding: str = "f32", channels: int = 1, rate:
     return files.select("path", "content").mapInPandas(run, "path string, chunk_no int, frate int, samples array<float>")
 
 
-# The legacy track file: 14 four-byte header fields, then rows of fixed width.
-MAGIC, VERSION = (0x48495344, 0x44534948), 0x00010001
+# The legacy track file has 14 four-byte header fields, then rows of fixed width.
+MAGIC, VERSION = (0xDEADBEEF, 0xBEEFCAFE), 0x00010001
 WIDTHS = (256, 64, 64, 64)
 
 
