@@ -444,7 +444,10 @@ def stream_framing(spark, d):
 
 @register("stream_window", oracle.STREAM_WINDOW)
 def stream_window(spark, d):
-    return framing.hop_windows(table(spark, d, "events"), "2 days", "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "kind", "n", rounded(F.col("total"), 4).alias("total"))
+    import uuid
+
+    windows = framing.drained(framing.hop_windows(_stream(spark, d), "2 days", "1 day"), f"windows-{uuid.uuid4().hex}", "complete")
+    return windows.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "kind", "n", rounded(F.col("total"), 4).alias("total"))
 
 
 def queries() -> dict[str, Query]:

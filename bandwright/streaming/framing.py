@@ -42,11 +42,19 @@ def hop_windows(stream: DataFrame, length: str, slide: str, late: str | None = N
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there now, into a parquet table in the shared folder, and reads it."""
+    """Runs a stream over all that is there now, into a parquet table in the shared folder, and reads it.
+
+    With mode complete each batch replaces the table, so windows that no watermark has closed are in it too.
+    """
     from bandwright.sources.files import checkpoint_dir
 
     spark = stream.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "complete":
+        spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/data")
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/data")).start()
+    else:
+        query = writer.format("parquet").option("path", f"{folder}/data").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/data")
