@@ -26,6 +26,8 @@ from bandwright.llm.tokens import tokenizer, vocabulary_size
 
 MAGIC = b"IDBITS01"
 BLOCK = 8192
+#: Tasks that a list of files is dealt to at most.
+MOST_TASKS = 20_000
 HEAD, TAIL = struct.Struct("<8sII"), struct.Struct("<QQQQ8s")
 
 
@@ -168,7 +170,7 @@ def read(files: DataFrame) -> DataFrame:
                     yield batch(schema, doc_id=doc_ids, start=starts, ids=out)
 
     files = files.select("file", "base")
-    return files.repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.repartition(min(max(1, files.count()), MOST_TASKS)).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def token_file_digest(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:

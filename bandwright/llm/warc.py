@@ -27,6 +27,8 @@ from bandwright.llm.common import batch, cut, run_dir, texts_of
 MIN_REVISIT = 100
 #: About so many payload bytes go to a file.
 FILE_BYTES = 64 << 20
+#: Tasks that a list of files is dealt to at most.
+MOST_TASKS = 20_000
 # The fields of a URL record line in versions 1 and 2 of the ARC format.
 FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
@@ -226,7 +228,8 @@ def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
 def convert(records: DataFrame, folder: str) -> DataFrame:
     """Converts the ARC files of records (file, place, page_id, response_id) and returns the WARC files: (file, records)."""
     own = F.array_sort(F.collect_list(F.struct("place", "page_id", "response_id")))  # bounded by a file's records
-    jobs = records.groupBy("file").agg(own.alias("own"))
+    files = records.select("file").distinct().count()
+    jobs = records.groupBy("file").agg(own.alias("own")).repartition(min(max(1, files), MOST_TASKS))  # small rows, but each is a file's work
     schema = pa.schema([("file", pa.string()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +273,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                         yield batch(schema, **dict(zip(names, zip(*rows, strict=True), strict=True)))
 
     files = files.select("file")
-    return files.repartition(max(1, files.count())).mapInArrow(run, "page_id long, url string, record_id string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.repartition(min(max(1, files.count()), MOST_TASKS)).mapInArrow(run, "page_id long, url string, record_id string, date string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def round_trip(pages: DataFrame, version: int = 1) -> DataFrame:
