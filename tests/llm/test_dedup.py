@@ -146,7 +146,7 @@ def test_best_chain_equals_quadratic():
         score = []
         for i, (p, r) in enumerate(m):
             score.append(substring.K + max([0.0, *(score[j] - substring.GAP_COST * (p - x + r - y) for j, (x, y) in enumerate(m[:i]) if x < p and y < r)]))
-        chain = [m[i] for i in substring.best_chain(m)]
+        chain = [m[i] for i in next(substring.all_chains(m))]
         value = sum(substring.K for _ in chain) - sum(substring.GAP_COST * (b[0] - a[0] + b[1] - a[1]) for a, b in zip(chain, chain[1:], strict=False))
         assert abs(value - max(score)) < 1e-9
 
