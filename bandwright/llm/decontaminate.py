@@ -52,7 +52,10 @@ class Members:
 
     def places(self, g: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(self.coarse[(g & np.uint64((1 << COARSE) - 1)).astype(np.int64)])
-        return at[np.isin(g[at], self.all)] if len(at) else at
+        if not len(at):
+            return at
+        near = np.minimum(np.searchsorted(self.all, g[at]), len(self.all) - 1)
+        return at[self.all[near] == g[at]]
 
 
 def frequencies(docs: DataFrame, items: Items) -> DataFrame:
@@ -139,7 +142,8 @@ def leaks_of(words: np.ndarray, items: Items, members: Members, seeds: dict[int,
             a, b = todo.pop()
             part = words[a:b]
             # No alignment scores more than MATCH for each word that occurs there at all.
-            if np.isin(own, part).sum() < threshold * len(own):
+            there = set(part.tolist())
+            if sum(w in there for w in own.tolist()) < threshold * len(own):
                 continue
             score, start, stop = smith_waterman(own, part)
             score /= MATCH * len(own)
