@@ -1,28 +1,26 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. The word n-grams of the test items are counted over all documents (document frequency).
-2. Every run of SEED_STRIDE neighbouring n-grams of an item gives its rarest one as a seed, so each part of an item has one
-   and an edited copy still meets some.
-3. A document's seeds fetch the items that hold them; around the seeds' diagonal the item is aligned to the document word by
+1. Every word bigram of the test items is a seed. A copy at THRESHOLD whose words are replaced or left out keeps
+   (4 * THRESHOLD - 1) / 3 of the item's bigrams less one, so it meets some; rarer or longer seeds would miss evenly edited ones.
+2. A document's seeds fetch the items that hold them; around the seeds' diagonal the item is aligned to the document word by
    word. The score is divided by the item's score against itself, and at THRESHOLD the passage counts as a leak.
 The items are read in blocks of bounded size, each against all documents.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from bandwright.llm.common import all_but, batch, cut, grams, texts_of
 from bandwright.llm.passages import PlainHashes
 
-N, SEED_STRIDE = 3, 2
+N = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.45
 #: Characters of test items that one block holds at most in expectation; blocks are broadcast.
@@ -38,6 +36,7 @@ class Items:
         hashes = PlainHashes()
         self.words = {i: hashes.plain((text or "").encode()) for i, text in rows}
         self.words = {i: w for i, w in self.words.items() if len(w)}
+        self.listed = {i: w.tolist() for i, w in self.words.items()}
         self.grams = {i: grams(w, min(N, len(w))) for i, w in self.words.items()}
         self.sizes = sorted({min(N, len(w)) for w in self.words.values()})
 
@@ -58,33 +57,12 @@ class Members:
         return at[self.all[near] == g[at]]
 
 
-def frequencies(docs: DataFrame, items: Items) -> DataFrame:
-    """(gram, df): documents that hold each n-gram of the items."""
-    shared = docs.sparkSession.sparkContext.broadcast((Members(np.concatenate([*items.grams.values()])), items.sizes))
-    schema = pa.schema([("gram", pa.int64()), ("df", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (members, sizes), counts = PlainHashes(), shared.value, Counter()
-        for b in batches:
-            for text in texts_of(b.column(1)):
-                words = hashes.plain(text)
-                for n in sizes:
-                    g = grams(words, n)
-                    counts.update(np.unique(g[members.places(g)]).view(np.int64).tolist())
-        yield batch(schema, gram=list(counts), df=list(counts.values()))
-
-    return docs.mapInArrow(run, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-
-
-def rare_seeds(docs: DataFrame, items: Items) -> dict[int, list[tuple[int, int]]]:
+def seeds_of(items: Items) -> dict[int, list[tuple[int, int]]]:
     """n-gram to the (item, place) pairs it is a seed of. Bounded by the block."""
-    rows = [(int(i), k, k // SEED_STRIDE, int(h)) for i, g in items.grams.items() for k, h in enumerate(g.view(np.int64))]
-    own = docs.sparkSession.createDataFrame(rows, "item_id long, place int, run int, gram long")
-    counted = own.join(frequencies(docs, items), "gram", "left").fillna(0, ["df"])
-    rarest = F.row_number().over(W.partitionBy("item_id", "run").orderBy("df", "place"))
     seeds = defaultdict(list)
-    for r in counted.withColumn("k", rarest).where("k = 1").select("gram", "item_id", "place").collect():
-        seeds[r["gram"]].append((r["item_id"], r["place"]))
+    for i, g in items.grams.items():
+        for k, h in enumerate(g.view(np.int64).tolist()):
+            seeds[h].append((i, k))
     return dict(seeds)
 
 
@@ -127,6 +105,12 @@ def regions(hits: list[tuple[int, int]], size: int, length: int) -> Iterator[tup
         yield start, stop
 
 
+def enough(own: list[int], there: set[int], shared: int, least: float, most: float) -> bool:
+    """Whether so many words of the item are there that an alignment with so many shared n-grams can reach the threshold."""
+    need = max(least, most - shared)
+    return need <= len(own) and sum(map(there.__contains__, own)) >= need - 1e-9
+
+
 def leaks_of(words: np.ndarray, items: Items, members: Members, seeds: dict[int, list[tuple[int, int]]], threshold: float) -> Iterator[tuple[int, int, int, float]]:
     """(item, start, stop, score) of each passage of a document that an item aligns to."""
     by_item = defaultdict(list)
@@ -135,15 +119,23 @@ def leaks_of(words: np.ndarray, items: Items, members: Members, seeds: dict[int,
         for place in members.places(g).tolist():
             for item, own in seeds.get(int(g[place].view(np.int64)), ()):
                 by_item[item].append((place, own))
+    known = set(words.tolist()) if by_item else ()
     for item, hits in by_item.items():
-        own = items.words[item]
+        own, listed = items.words[item], items.listed[item]
+        # Of m matched words all but those that a gap or mismatch follows begin a shared bigram, and each of these costs 1 at
+        # least: MATCH * m - (m - 1 - shared) reaches the threshold only if m + shared + 1 does. So it may be said of the whole
+        # document first.
+        least, most = threshold * len(own), MATCH * threshold * len(own) - 1
+        shared = len({k for _, k in hits}) if len(own) >= N else len(own)
+        if not enough(listed, known, shared, least, most):
+            continue
         todo = list(regions(hits, len(own), len(words)))
         while todo:
             a, b = todo.pop()
             part = words[a:b]
+            shared = len({k for x, k in hits if a <= x < b}) if len(own) >= N else len(own)
             # No alignment scores more than MATCH for each word that occurs there at all.
-            there = set(part.tolist())
-            if sum(w in there for w in own.tolist()) < threshold * len(own):
+            if not enough(listed, set(part.tolist()), shared, least, most):
                 continue
             score, start, stop = smith_waterman(own, part)
             score /= MATCH * len(own)
@@ -169,7 +161,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         block = Items([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()])
         if not block.words:
             continue
-        seeds = rare_seeds(docs, block)
+        seeds = seeds_of(block)
         shared = docs.sparkSession.sparkContext.broadcast((block, Members(np.array(list(seeds), np.int64).view(np.uint64)), seeds))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
