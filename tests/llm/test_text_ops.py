@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bandwright.llm import extract, langid, packing, tokenfile, tokens, warc
+from bandwright.llm import langid, packing, tokenfile, tokens, warc
 
 SCHEMA = "doc_id long, text string"
 public = pytest.importorskip("public_tokenizers")
@@ -163,42 +163,3 @@ def test_arc_versions():
         list(warc.arc_records(io.BytesIO(b"http://x 0.0.0.0 2020 t 3\nabc\n")))
     with pytest.raises(ValueError):
         list(warc.arc_records(io.BytesIO(data[:-3] + b" 9\n")))
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) { x("</p>") }</script></head><body class="has-sidebar">
-<nav><ul><li><a href=/a>Menu</a></ul></nav><div class="cookie-notice">We use cookies</div><div id='sideBar'>Side</div>
-<article><header><h1>Head &amp; line</h1></header><p>One<br>two &eacute;&nbsp;x <b>bold</b><p>Three < four &am &copy
-<ul><li>a<li>b</ul><div class="ad">Buy</div><form><p>Mail</p></form><table><tr><td>c<td>d</table>%s
-<section class="comments"><article class="comment"><p>First!</p></article></section></article>
-<aside>Else</aside><footer>&copy; us</footer></body></html>"""
-
-
-def test_page():
-    root = extract.parse(PAGE % "")
-    assert extract.blocks(extract.content_root(root), set()) == ["Head & line", "One two é x bold", "Three < four &am ©", "a", "b", "c", "d"]
-    for text, expected in (("", []), ("plain", ["plain"]), ("<p>open <b", ["open"]), ("a < b > c", ["a < b > c"]), ("<div><p>x</div>y", ["x", "y"]), ("<p hidden>h</p><p>s</p>", ["s"]), ("<!-- x", []), ("<main><p>m</main><p>o", ["m"])):
-        assert extract.blocks(extract.content_root(extract.parse(text)), set()) == expected, text
-
-
-def test_wrapper_induction(spark):
-    rng = random.Random(6)
-    words = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
-    pages, texts = [], {}
-    for k in range(40):
-        body = [words(20) for _ in range(rng.randrange(1, 5))]
-        texts[k] = "\n\n".join(body)
-        pages.append((k, "http://one.org/x", "<body><div><p>All rights of this site</p></div><div>" + "".join(f"<p>{b}</p>" for b in body) + "</div><div><p>Write to us</p></div></body>"))
-    pages += [(50, None, None), (51, "http://two.org", "<p>lone</p>"), (51, "http://two.org", "<p>lone</p>"), (None, "http://one.org/", "")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("h"))
-    out = extract.extract(df).collect()
-    assert len(out) == 44 and all(r["n_chars"] == len(r["text"]) for r in out)
-    assert {r["page_id"]: r["text"] for r in out if r["page_id"] is not None and r["page_id"] < 40} == texts
-    assert sorted(r["text"] for r in out if r["page_id"] in (50, 51)) == ["", "lone", "lone"]
-    assert extract.extract(df.where("false")).count() == 0
-
-
-def test_match_keeps_order():
-    a, b = (extract.parse(f"<div>{x}</div>") for x in ("<p>1<p>2<h2>3</h2><p>4", "<p>0<p>1<p>2<ul></ul><h2>9</h2><p>4"))
-    pairs = []
-    extract.match(a, b, pairs)
-    assert [(extract.text_of(x), extract.text_of(y)) for x, y in pairs][2:] == [("1", "1"), ("2", "2"), ("3", "9"), ("4", "4")] or ("1", "1") in [(extract.text_of(x), extract.text_of(y)) for x, y in pairs]
