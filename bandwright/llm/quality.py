@@ -1,9 +1,10 @@
 """Quality rules: base counts of each text, and cross-document line frequency by host. DataFrame functions only.
 
 A line is normalised (lower case, digit runs as 0, white space runs as one blank, trimmed) and hashed. For each host the
-distinct documents of a line are counted. Copies of one document count once: a document stands in the count of a line by
-the smallest of its other line hashes, which copies share. Lines in more than max_docs documents of a host are removed
-from that host's documents, and documents that lose more than max_removed of their line characters are rejected.
+distinct documents of a line are counted; documents with the same set of lines are copies and count once, so that a group of
+copies does not make its own lines boilerplate. Lines in more than max_docs documents of a host are removed from that
+host's documents, and documents that lose more than max_removed of their line characters are rejected. Texts are read
+once: counts and line hashes are written, and everything after works on these.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bandwright.llm.common import WORD
+from bandwright.llm.common import BROADCAST_KEYS, WORD, cut, fresh
 
 SPACES = r"[\x20\x09-\x0D]+"
 MAX_DOCS = 10
 MAX_REMOVED = 0.7
+#: Parts that a frequent line's documents are dealt to where frequent lines are too many to broadcast.
+SALTS = 32
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -44,59 +47,71 @@ def base_counts(docs: DataFrame) -> DataFrame:
     docs = docs.withColumns({
         "n_words": n, "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_symbols": F.regexp_count("body", F.lit("[#*$%&|<>]")).cast("long"),
         "n_dup_lines": (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long"), "bits": F.ceil(F.log2(n + 1)).cast("int"),
-    })
+    }).drop("full_lines")
     # A window's hash in the high bits and its place in the low ones: sorting brings equal windows together.
     word = lambda i: F.get(F.col("words"), i)
     code = lambda i: F.call_function("shiftleft", F.xxhash64(word(i), word(i + 1), word(i + 2)), F.col("bits")).bitwiseOR(i.cast("long"))
-    docs = docs.withColumn("codes", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), code)))).drop("words", "full_lines")
+    docs = docs.withColumn("codes", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - 3), code))))
     high = lambda c: F.call_function("shiftright", c, F.col("bits"))
-    twice = lambda c, j: F.coalesce(high(F.get("codes", j + 1)) == high(c), F.lit(False)) | F.coalesce(high(F.get("codes", j - 1)) == high(c), F.lit(False))
-    place = lambda c: c.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1)
-    docs = docs.withColumn("places", F.sort_array(F.transform(F.filter("codes", twice), place))).drop("codes")
-    covered = F.transform("places", lambda p, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get("places", j + 1) - p, F.lit(3).cast("long"))))
+    either = lambda array, key, c, j: F.coalesce(key(F.get(array, j + 1)) == key(c), F.lit(False)) | F.coalesce(key(F.get(array, j - 1)) == key(c), F.lit(False))
+    place = lambda c: c.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1).cast("int")
+    docs = docs.withColumn("places", F.transform(F.filter("codes", lambda c, j: either("codes", high, c, j)), place)).drop("codes")
+    # Where hashes meet the words themselves decide.
+    window = lambda p: F.struct(F.concat_ws("\n", word(p), word(p + 1), word(p + 2)).alias("words"), p.alias("place"))
+    docs = docs.withColumn("windows", F.sort_array(F.transform("places", window))).drop("words", "places")
+    same = F.filter("windows", lambda c, j: either("windows", lambda x: x["words"], c, j))
+    docs = docs.withColumn("places", F.sort_array(F.transform(same, lambda x: x["place"]))).drop("windows")
+    covered = F.transform("places", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("places", j + 1) - p, F.lit(3))).cast("long"))
     return docs.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long"))).drop("places", "bits")
 
 
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """(host, hash) of lines in more than max_docs distinct documents of the host. lines: (host, hashes), a row for each document."""
-    own = F.array_distinct(F.filter("hashes", lambda x: x.isNotNull()))
-    docs = lines.select("host", own.alias("hashes")).withColumn("least", F.array_min("hashes"))
-    docs = docs.withColumn("next", F.array_min(F.array_remove("hashes", F.col("least"))))
-    each = docs.select("host", "least", "next", F.explode("hashes").alias("hash"))
-    each = each.select("host", "hash", F.when(F.col("hash") == F.col("least"), F.col("next")).otherwise(F.col("least")).alias("stands_for"))
-    return each.distinct().groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs")
+    """(host, hash) of lines in more than max_docs distinct documents of the host. lines: (host, copy, hash), copy naming a document's set of lines."""
+    return lines.select("host", "hash", "copy").distinct().groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs")
 
 
 def verdicts(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED) -> DataFrame:
     """(doc_id, counts, base_failed, kept, removed_chars, removed) for every row of docs (doc_id, text, host column).
 
     removed: hashes of the row's lines that are above the limit. Null texts count as empty and fail the base; a null host
-    is a host of its own; repeated rows are judged each, and count once for a line's frequency as copies.
+    is a host of its own; repeated rows are judged each, and count once for a line's frequency as copies. Very long texts
+    are judged whole. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    often = frequent_lines(rows.select("host", line_hashes(F.col("body")).alias("hashes")), max_docs).withColumnsRenamed({"host": "often_host", "hash": "often"})
     sizes = F.transform(F.split(normalised(F.col("body")), "\n"), lambda x: F.length(F.trim(x)))
-    each = base_counts(rows.withColumn("row", F.monotonically_increasing_id()))
-    each = each.select("row", F.struct("doc_id", *STATS).alias("stats"), "host", F.explode(F.arrays_zip(line_hashes(F.col("body")).alias("hash"), sizes.alias("size"))).alias("line"))
-    each = each.select("row", "stats", "host", F.col("line.hash").alias("hash"), F.col("line.size").alias("size"))
-    met = each.join(often, (F.col("host") == F.col("often_host")) & (F.col("hash") == F.col("often")), "left")
-    by_row = met.groupBy("row").agg(F.first("stats").alias("stats"), F.sum(F.when(F.col("hash").isNotNull(), F.col("size"))).alias("chars"), F.sum(F.when(F.col("often").isNotNull(), F.col("size"))).alias("gone"), F.collect_set("often").alias("removed"))
-    gone, chars = F.coalesce("gone", F.lit(0)), F.coalesce("chars", F.lit(0))
-    failed = (F.col("stats.n_words") < 50) | (F.col("stats.n_repeat_words") * 100 > F.col("stats.n_words") * 50)
-    return by_row.select("stats.*", failed.alias("base_failed"), (~failed & (gone * 1.0 <= chars * max_removed)).alias("kept"), gone.cast("long").alias("removed_chars"), "removed")
+    lines = F.filter(F.arrays_zip(line_hashes(F.col("body")).alias("hash"), sizes.alias("size")), lambda x: x["hash"].isNotNull())
+    each = base_counts(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("lines", lines)).drop("body")
+    own = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["hash"])))
+    each = cut(each.withColumns({"host": F.xxhash64("host"), "copy": F.xxhash64(own)}))
+    by_line = each.select("row", "host", "copy", F.explode("lines").alias("line")).select("row", "host", "copy", F.col("line.hash").alias("hash"), F.col("line.size").alias("size"))
+    often = cut(frequent_lines(by_line, max_docs)).select(F.col("host").alias("often_host"), F.col("hash").alias("often"))
+    few = often.count() <= BROADCAST_KEYS
+    salt, salts = (F.lit(0), F.array(F.lit(0))) if few else (F.pmod(F.col("row"), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    often = often.withColumn("its_salt", F.explode(salts))
+    met = by_line.withColumn("salt", salt).join(F.broadcast(often) if few else often, (F.col("host") == F.col("often_host")) & (F.col("hash") == F.col("often")) & (F.col("salt") == F.col("its_salt")))
+    gone = met.groupBy(F.col("row").alias("its_row")).agg(F.sum("size").alias("gone"), F.collect_set("often").alias("removed"))
+    by_row = each.join(gone, F.col("row") == F.col("its_row"), "left")
+    lost, chars = F.coalesce("gone", F.lit(0)), F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    return by_row.select(
+        "doc_id", *STATS, failed.alias("base_failed"), (~failed & (lost * 1.0 <= chars * max_removed)).alias("kept"), lost.cast("long").alias("removed_chars"),
+        F.coalesce("removed", F.array().cast("array<long>")).alias("removed"),
+    )
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
     """The kept rows of docs with their frequent lines removed from text; all other columns as they are.
 
-    Rows that repeat a doc_id share what either of them was judged: they stay if one of them is kept.
+    Rows that repeat a doc_id share what either of them was judged: they stay if one of them is kept. A null text fails.
+    Columns may have any names.
     """
-    judged = verdicts(docs, **limits).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")).where("kept").select(F.col("doc_id").alias("judged_id"), F.col("removed").alias("judged_removed"))
-    joined = docs.join(judged, F.col("doc_id").eqNullSafe(F.col("judged_id")))
+    judged_id, removed = fresh(docs, "judged_id"), fresh(docs, "judged_removed")
+    judged = verdicts(docs, **limits).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.array_distinct(F.flatten(F.collect_list("removed"))).alias("removed")).where("kept").select(F.col("doc_id").alias(judged_id), F.col("removed").alias(removed))
+    joined = docs.join(judged, F.col("doc_id").eqNullSafe(F.col(judged_id)))
     lines = F.arrays_zip(F.split("text", "\n").alias("line"), line_hashes(F.col("text")).alias("hash"))
-    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("judged_removed", x["hash"]), F.lit(False)))
-    text = F.when(F.size("judged_removed") == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(removed, x["hash"]), F.lit(False)))
+    text = F.when(F.size(removed) == 0, F.col("text")).otherwise(F.array_join(F.transform(stay, lambda x: x["line"]), "\n"))
+    return joined.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def oracle(max_docs: int = MAX_DOCS, max_removed: float = MAX_REMOVED) -> str:
@@ -109,11 +124,10 @@ z AS (SELECT rn, count(DISTINCT i + k) AS n_repeat_words FROM y, (SELECT unnest(
 l AS (SELECT rn, host, unnest(string_split(body, chr(10))) AS line FROM d),
 dl AS (SELECT rn, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rn),
 nl AS (SELECT rn, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
-hl AS (SELECT rn, host, CAST('0x' || substr(md5(line), 1, 15) AS BIGINT) AS h, length(line) AS size FROM nl WHERE line <> ''),
-u AS (SELECT DISTINCT rn, host, h FROM hl),
-m AS (SELECT u.rn, u.host, u.h, min(v.h) AS other FROM u LEFT JOIN u AS v ON u.rn = v.rn AND u.h <> v.h GROUP BY ALL),
-o AS (SELECT host, h FROM (SELECT DISTINCT host, h, other FROM m) GROUP BY host, h HAVING count(*) > {max_docs}),
-g AS (SELECT hl.rn, sum(size) AS chars, coalesce(sum(size) FILTER (WHERE o.h IS NOT NULL), 0) AS gone FROM hl LEFT JOIN o ON hl.host = o.host AND hl.h = o.h GROUP BY hl.rn),
+hl AS (SELECT rn, host, line, length(line) AS size FROM nl WHERE line <> ''),
+c AS (SELECT rn, string_agg(line, chr(10) ORDER BY line) AS all_lines FROM (SELECT DISTINCT rn, line FROM hl) GROUP BY rn),
+o AS (SELECT host, line FROM hl JOIN c USING (rn) GROUP BY host, line HAVING count(DISTINCT all_lines) > {max_docs}),
+g AS (SELECT hl.rn, sum(size) AS chars, coalesce(sum(size) FILTER (WHERE o.line IS NOT NULL), 0) AS gone FROM hl LEFT JOIN o ON hl.host = o.host AND hl.line = o.line GROUP BY hl.rn),
 s AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(body, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(chars, 0) AS chars, coalesce(gone, 0) AS gone
   FROM d JOIN w USING (rn) LEFT JOIN z USING (rn) LEFT JOIN dl USING (rn) LEFT JOIN g USING (rn))

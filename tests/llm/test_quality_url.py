@@ -39,6 +39,35 @@ def test_frequent_lines_and_copies(spark):
     assert out[3]["text"] == lines(3) and out[200]["text"].endswith(banner) and 300 not in out and out[3]["hash"] == 2
 
 
+def test_shared_lines_do_not_hide_each_other(spark):
+    shared = ["the first line that all of them hold", "and the second of these lines", *(f"template line {chr(97 + i)}" for i in range(20))]
+    for n in (2, 22):
+        rows = [(k, "\n".join([*shared[:n], lines(k % 20, 2), " ".join(f"own{k}x{chr(97 + i)}" for i in range(60)).replace(str(k), "".join(chr(97 + int(c)) for c in str(k)))]), "en", "h", 1) for k in range(500)]
+        judged = quality.verdicts(docs(spark, rows)).collect()
+        least = sum(map(len, shared[:n]))
+        assert all(r["removed_chars"] >= least for r in judged) and len(judged) == 500
+        hashes = {r["hash"] for r in docs(spark, [(0, "\n".join(shared[:n]), "", "", 0)]).select(F.explode(quality.line_hashes(F.col("text"))).alias("hash")).collect()}
+        assert all(hashes <= set(r["removed"]) for r in judged)
+
+
+def test_many_frequent_lines_are_joined_by_shuffle(spark, monkeypatch):
+    rows = [(k, "\n".join(f"shared {chr(97 + i)} line" for i in range(20)) + "\n" + lines(k), "en", "h", 1) for k in range(15)]
+    one = sorted(map(str, quality.verdicts(docs(spark, rows)).drop("removed").collect()))
+    monkeypatch.setattr(quality, "BROADCAST_KEYS", 3)
+    assert sorted(map(str, quality.verdicts(docs(spark, rows).repartition(3)).drop("removed").collect())) == one
+
+
+def test_clashing_names_and_long_text(spark):
+    rows = [(1, WORDS, "en", "s", 1), (2, " ".join(f"w{i % 90_000}" for i in range(300_000)), "en", "s", 1), (3, None, "en", "s", 1)]
+    odd = docs(spark, rows)
+    for name in ("judged_id", "judged_removed", "host", "row", "lines", "copy", "often", "a.b"):
+        odd = odd.withColumn(name, F.lit(name))
+    out = {r["doc_id"]: r for r in quality.clean(odd).collect()}
+    assert set(out) == {1} and out[1].asDict()["judged_id"] == "judged_id" and list(out[1].asDict()) == odd.columns
+    counts = {r["doc_id"]: r for r in quality.verdicts(odd).collect()}
+    assert counts[2]["n_words"] == counts[2]["n_repeat_words"] == 300_000 and counts[1]["n_repeat_words"] == 0
+
+
 def test_depleted_document_goes(spark):
     banner = "\n".join(f"boilerplate {chr(97 + i)} with words " + " ".join(f"b{chr(97 + i)}{chr(97 + j)}" for j in range(8)) for i in range(6))
     rows = [(k, f"{lines(k, 30)}\n{banner}", "en", "h", 1) for k in range(14)] + [(50, f"{banner}\nshort own line", "en", "h", 1)]
