@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from bandwright.llm.common import batch, grams, texts_of
 
 ORDER = 5
-#: The models are fitted on about so many texts of each language (whole texts, drawn by hash); the bound on what they hold.
+#: The models are fitted on so many texts of each language and so many characters, in expectation (whole texts, drawn by hash);
+#: this bounds what they hold.
 TEXTS_PER_LANGUAGE = 1500
-#: N-grams that a language may bring into the table, the most frequent ones.
-NGRAMS_PER_LANGUAGE = 400_000
+CHARS_PER_LANGUAGE = 6_000_000
 #: Of 16 parts of the training texts, by hash, those that calibrate.
 CALIBRATION_PART = 3
 #: Share of calibration texts of a language whose cross-entropy the rejection limit admits.
@@ -71,7 +71,7 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def ngram_counts(words: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all orders, each n-gram ending at a character to predict; the most frequent of each language."""
+    """(lang, gram, n) of all orders, each n-gram ending at a character to predict."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -245,17 +245,14 @@ class Identifier:
 def fit(labelled: DataFrame) -> Identifier | None:
     """From labelled (doc_id, text, lang); None if there is no labelled text. What reaches the driver is bounded by the two parameters above."""
     labelled = labelled.where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    sizes = {r[0]: (r[1], r[2] or 0) for r in labelled.groupBy("lang").agg(F.count("*"), F.sum(F.length("text"))).collect()}  # a row for each language
     if not sizes:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
-    rate = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, TEXTS_PER_LANGUAGE / n))) for lang, n in sizes.items()))
+    rate = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, TEXTS_PER_LANGUAGE / n, CHARS_PER_LANGUAGE / max(1, chars)))) for lang, (n, chars) in sizes.items()))
     sample = labelled.where(draw < rate).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(16)))
     count_part = sample.where(F.col("part") != CALIBRATION_PART)
-    grams = ngram_counts(word_counts(count_part)).groupBy("lang").applyInPandas(
-        lambda frame: frame.nlargest(NGRAMS_PER_LANGUAGE, ["n", "gram"]) if len(frame) > NGRAMS_PER_LANGUAGE else frame, "lang string, gram string, n long"
-    ) if len(sizes) > 100 else ngram_counts(word_counts(count_part))
-    counts = grams.toPandas()
+    counts = ngram_counts(word_counts(count_part)).toPandas()
     if counts.empty:
         return None
     languages = sorted(counts["lang"].unique())
@@ -266,10 +263,11 @@ def fit(labelled: DataFrame) -> Identifier | None:
 def predict(docs: DataFrame, identifier: Identifier | None) -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, accepted) of every row of docs (doc_id, text).
 
-    und with score 0 if text is null or has no letter, or if there is no model. Repeated rows are judged each.
+    und with score 0 if text is null or has no letter, or if there is no model. Repeated rows are judged each. Very long
+    texts are judged whole; of languages with equal cross-entropy the first by name is taken. Other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("accepted", pa.bool_())])
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by NGRAMS_PER_LANGUAGE
+    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -278,7 +276,7 @@ def predict(docs: DataFrame, identifier: Identifier | None) -> DataFrame:
             out, waiting, size = [("und", 0.0, None, False)] * b.num_rows, {}, 0
             for i, text in enumerate(texts_of(b.column(1))):
                 words = words_of(text.decode()) if known else []
-                if len(words) > 9 or any(c.isalpha() for w in words for c in w):
+                if any(c.isalpha() for w in words for c in w):  # superscripts, fractions and Roman numerals are none
                     waiting[i], size = words, size + len(words)
                 if waiting and (size >= TOGETHER or i == b.num_rows - 1):
                     for k, e in zip(waiting, scorer.entropies([*waiting.values()]), strict=True):

@@ -128,17 +128,62 @@ def test_language(spark):
     assert langid.identify(df.where("false")).count() == 0
 
 
-def test_model_sums_to_one():
+def plain_model(words):
+    """Interpolated Kneser-Ney by its definition: p(gram), the probability of a gram's last character after the others."""
+    from collections import Counter
+    from functools import cache
+
+    raw = Counter(w[end - n : end] for w in map(langid.framed, words) for end in range(2, len(w) + 1) for n in range(1, min(langid.ORDER, end) + 1))
+    before = Counter(g[1:] for g in raw)
+    count = {g: raw[g] if len(g) == langid.ORDER or g[0] == " " and len(g) > 1 else max(1, before[g]) for g in raw}
+    own = {n: [g for g in count if len(g) == n] for n in range(1, langid.ORDER + 1)}
+    discount = {}
+    for n, grams in own.items():
+        once, twice = (sum(count[g] == k for g in grams) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+    total, kinds = Counter(), Counter()
+    for g in count:
+        total[g[:-1]] += count[g] if len(g) > 1 else 0
+        kinds[g[:-1]] += len(g) > 1
+
+    @cache
+    def p(gram, alphabet):
+        n = len(gram)
+        if n == 1:
+            everything = sum(count[g] for g in own[1])
+            return max(0, count.get(gram, 0) - discount[1]) / everything + discount[1] * len(own[1]) / everything / alphabet
+        if not total[gram[:-1]]:
+            return p(gram[1:], alphabet)
+        return max(0, count.get(gram, 0) - discount[n]) / total[gram[:-1]] + discount[n] * kinds[gram[:-1]] / total[gram[:-1]] * p(gram[1:], alphabet)
+
+    return p
+
+
+def test_model_equals_definition():
     import pandas as pd
 
-    counts = pd.DataFrame([("l", g, n) for g, n in {"a": 3, "b": 2, " ": 2, " a": 2, "ab": 2, "b ": 2, "aa": 1, " ab": 1, " aa": 1, "ab ": 2, "aab": 1}.items()], columns=["lang", "gram", "n"])
-    m = langid.Model(["l"], counts)
-    for context in ("a", " "):
-        known = [g for g in counts["gram"] if len(g) == 2 and g[0] == context]
-        row = m.find(langid.hashed([context]))[0]
-        total = sum(np.exp(m.log_p[m.find(langid.hashed([g]))[0], 0]) for g in known)
-        rest = sum(np.exp(m.log_p[m.find(langid.hashed([c]))[0], 0] + m.log_backoff[row, 0]) for c in "ab " if context + c not in known)
-        assert total + rest <= 1.0001
+    rng = random.Random(8)
+    made = {lang: ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(60)] for lang, letters in (("x", "abcé"), ("y", "bcdz"))}
+    rows = [(lang, w[end - n : end], 1) for lang, words in made.items() for w in map(langid.framed, words) for end in range(2, len(w) + 1) for n in range(1, min(langid.ORDER, end) + 1)]
+    model = langid.Model(["x", "y"], pd.DataFrame(rows, columns=["lang", "gram", "n"]).groupby(["lang", "gram"], as_index=False).sum())
+    alphabet = len(set("abcédz ")) + 1
+    plain = {lang: plain_model(words) for lang, words in made.items()}
+    for word in [*made["x"][:20], *made["y"][:20], "zab", "qqq", "abcdabcd", "é"]:
+        w = langid.framed(word)
+        for j, lang in enumerate(("x", "y")):
+            expected = sum(np.log(plain[lang](w[max(0, i + 1 - langid.ORDER) : i + 1], alphabet)) for i in range(1, len(w)))
+            assert abs(model.score([word])[0][j] - expected) < 1e-3, (word, lang)
+    for context in ("", " ", "a", "bc", " ab", "cbab"):
+        for lang in plain:
+            assert abs(sum(plain[lang](context + c, alphabet) for c in "abcédz q") - 1) < 1e-9
+
+
+def test_only_letters_count(spark):
+    rows = [(k, "some english words here " * 3 if k % 2 else "quelques mots de français " * 3, "en" if k % 2 else "fr") for k in range(40)]
+    odd = ["² ³ ¹ " * 5, "½ ¼ ¾ " * 5, "Ⅷ ⅳ Ⅻ " * 5, "①②③ " * 12, "__ 123 ٣", "² é"]
+    df = spark.createDataFrame(rows + [(100 + i, t, None) for i, t in enumerate(odd)], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df).collect()}
+    assert [found[100 + i] for i in range(5)] == ["und"] * 5 and found[105] != "und"
 
 
 def test_warc_round_trip(spark):
