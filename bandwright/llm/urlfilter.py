@@ -3,21 +3,22 @@
 A rule is either a host and path prefix with its own verdict, or a glob over host and path that blocks. Each rule becomes
 a regular expression plus the literal tokens every fitting URL must hold. The token that is rarest among the URLs at hand
 keys the rule; a URL's tokens fetch the candidate rules, and only those run their expression. Rules without a literal
-token sit under the empty token, which every URL has. DataFrame functions only.
+token sit under the empty token, which every URL has. Rules are a table of any size. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandwright.llm.common import ascii_lower
+from bandwright.llm.common import ascii_lower, cut
 
-#: The rule list is a parameter of the job; up to this many rules the index is broadcast, beyond it is joined by shuffle.
-BROADCAST_RULES = 50_000
+#: Up to this many rules, counted, the index is broadcast; beyond it it is joined by shuffle.
+BROADCAST_RULES = 200_000
 
 # The rules that the query is asked to judge by, (host, path, verdict).
 PREFIX_RULES = (
@@ -46,14 +47,19 @@ def whole_tokens(literal: str, open_start: bool, open_end: bool) -> tuple[str, .
     return tuple(m[0] for m in runs if not (open_start and m.start() == 0) and not (open_end and m.end() == len(literal)))
 
 
+def quoted(literal: str) -> str:
+    """As a Java expression that fits the literal alone."""
+    return re.sub(r"[^A-Za-z0-9\s]", lambda m: f"\\{m[0]}", literal) if literal.isascii() else "".join(f"\\x{{{ord(c):x}}}" for c in literal)
+
+
 def prefix_rule(host: str, path: str, verdict: str) -> Rule:
-    regex = f"^(?:[^/]*\\.)?{re.escape(host)}{re.escape(path)}"
+    regex = f"^(?:[^/]*\\.)?{quoted(host)}{quoted(path)}"
     return Rule(host + path, regex, whole_tokens(host + path, False, True), True, verdict)
 
 
 def glob_rule(glob: str) -> Rule:
     parts = glob.split("*")
-    regex = "^" + ".*".join(map(re.escape, parts)) + "$"
+    regex = "(?s)^" + ".*".join(map(quoted, parts)) + "\\z"
     tokens = tuple(t for i, p in enumerate(parts) for t in whole_tokens(p, i > 0, i < len(parts) - 1))
     return Rule(glob, regex, tokens, False, "block")
 
@@ -67,35 +73,41 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def local_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    literals = [F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*literals)))
+RULE = "array<struct<name:string,regex:string,tokens:array<string>,prefix:boolean,verdict:string>>"
+
+
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """(name, regex, tokens, prefix, verdict) of rules given as Python objects."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), RULE)))
+
+
+def indexed(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(key, regex, prefix, size, name, verdict) of rules; key is the rule's token that is rarest among tokens (token), or the empty one."""
+    each = rules.select(F.struct("regex", "prefix", F.length("name").alias("size"), "name", "verdict").alias("rule"), F.explode_outer("tokens").alias("wanted"))
+    wanted = cut(each.where("wanted is not null").select("wanted").distinct())
+    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_RULES else wanted
+    counts = tokens.join(small, F.col("token") == F.col("wanted"), "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    met = each.join(counts, F.col("wanted") == F.col("token"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return met.groupBy("rule").agg(F.coalesce(F.min_by("wanted", F.struct("n", "wanted")), F.lit("")).alias("key")).select("key", "rule.*")
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] | DataFrame = DEFAULT_RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) for each row of pages (page_id, url).
 
-    The longest fitting prefix rule decides; without one a fitting glob blocks; else the verdict is allow. A null url has
-    an empty host and path, so only globs that fit the empty string reach it. Repeated rows are judged each. An empty rule
-    list allows everything. rule is null unless a prefix rule decided, pattern unless a glob did.
+    rules are Rule objects or a table (name, regex, tokens, prefix, verdict); repeated rules count once. The longest fitting
+    prefix rule decides; without one the longest fitting glob blocks; else the verdict is allow. A null url has an empty host
+    and path, so only globs that fit the empty string reach it. Repeated rows are judged each, very long urls whole. An
+    empty rule list allows everything. rule is null unless a prefix rule decided, pattern unless a glob did. Other columns
+    are ignored.
     """
-    spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     site = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("address", F.concat("host", "path"))
-    plain = site.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"), F.lit(None).cast("string").alias("pattern"))
-    if not rules:
-        return plain
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(pages.sparkSession, rules)
     tokens = F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("address"), "[^a-z0-9]+")))
     site = site.withColumn("row", F.monotonically_increasing_id()).withColumn("token", F.explode(tokens))
-    wanted = sorted({t for r in rules for t in r.tokens})
-    known = site.select("token").where(F.col("token") != "")
-    if wanted:
-        named = local_rows(spark, [(t,) for t in wanted], ["wanted"])
-        named = F.broadcast(named) if len(wanted) <= BROADCAST_RULES else named
-        counts = dict(map(tuple, known.join(named, F.col("token") == F.col("wanted"), "left_semi").groupBy("token").count().collect()))  # at most the rules' tokens
-    keyed = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)) if r.tokens else "", r.regex, r.prefix, len(r.name), r.name, r.verdict) for r in rules]
-    index = local_rows(spark, keyed, ["key", "regex", "prefix", "size", "name", "its_verdict"])
-    index = F.broadcast(index) if len(rules) <= BROADCAST_RULES else index
+    index = cut(indexed(rules, site.select("token").where(F.col("token") != ""))).withColumnRenamed("verdict", "its_verdict")
+    index = F.broadcast(index) if index.count() <= BROADCAST_RULES else index
     fits = F.when(F.col("key").isNotNull() & F.rlike(F.col("address"), F.col("regex")), F.struct("prefix", "size", "name", "its_verdict"))
     best = site.join(index, F.col("token") == F.col("key"), "left").groupBy("row").agg(*(F.first(c).alias(c) for c in ("page_id", "host", "path")), F.max(fits).alias("best"))
     return best.select(

@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +110,25 @@ def test_url_rows_stay(spark):
     assert urlfilter.judge(df).count() == 4 and urlfilter.judge(df, ()).count() == 4 and urlfilter.judge(df.where("false")).count() == 0
 
 
+def test_line_ends_and_odd_letters(spark):
+    urls = ["http://x.org/a\nb/casino/c\n", "http://x.org/wp-login.php\n", "http://x.xxx/\nq", "http://É.org/é(b", "http://x.org/e(b"]
+    rules = (*urlfilter.DEFAULT_RULES, urlfilter.glob_rule("*/é(b"), urlfilter.glob_rule("*.php"))
+    found = [r["pattern"] for r in urlfilter.judge(page(spark, urls), rules).orderBy("page_id").collect()]
+    assert found == ["*/casino/*", "*/wp-login.php*", "*.xxx/*", "*/é(b", None]
+
+
+def test_fifty_thousand_rules(spark, monkeypatch):
+    rules = [urlfilter.prefix_rule(f"host{k}.org", f"/p{k % 7}/", "block") for k in range(49_990)] + [urlfilter.glob_rule(f"*/g{k}/*") for k in range(10)]
+    urls = [f"http://www.host{k}.org/p{k % 5}/x" for k in range(0, 2000, 7)] + [f"http://z.com/{k}/g{k}/" for k in range(20)]
+    began = time.time()
+    found = [r["rule"] or r["pattern"] for r in urlfilter.judge(page(spark, urls), tuple(rules)).orderBy("page_id").collect()]
+    assert time.time() - began < 40
+    assert found == [f"host{k}.org/p{k % 7}/" if k % 7 == k % 5 else None for k in range(0, 2000, 7)] + [f"*/g{k}/*" if k < 10 else None for k in range(20)]
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 10)
+    table = urlfilter.rule_table(spark, tuple(rules[-200:]))
+    assert [r["pattern"] for r in urlfilter.judge(page(spark, urls), table).orderBy("page_id").collect()] == [None if f is None or f[0] == "h" else f for f in found]
+
+
 def test_rules_without_token(spark):
     rules = (urlfilter.glob_rule("*pill*"), urlfilter.prefix_rule("com", "/", "allow"))
     assert rules[0].tokens == () and rules[1].tokens == ("com",)
