@@ -84,18 +84,35 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted(str(r["doc_id"]) for r in left) == ["5", "5", "8", "None"]
 
 
-def test_estimate_is_close():
+def test_bands_and_estimate_lose_no_pair_at_the_threshold():
     import numpy as np
 
-    rng = np.random.default_rng(1)
-    for size, share in ((2000, 0.8), (400, 0.5)):
-        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2))
-        b = np.unique(np.concatenate([a[: int(len(a) * 2 * share / (1 + share))], rng.integers(0, 2**63, len(a) - int(len(a) * 2 * share / (1 + share)), dtype=np.uint64) * np.uint64(2)]))
-        rng.shuffle(a)
-        a = np.unique(a)
+    rng, errors, lost = np.random.default_rng(1), [], 0
+    for k in range(400):
+        n = (30, 200, 2000)[k % 3]
+        both = -(-n * 8 // 9)  # Jaccard 0.8 or a little more
+        a = rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        b = np.concatenate([a[:both], rng.integers(0, 2**63, n - both, dtype=np.uint64) * np.uint64(2)])
+        x, y = (np.frombuffer(neardup.hyperminhash(np.unique(v)), "<u2") for v in (a, b))
         real = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        x, y = (np.frombuffer(neardup.hyperminhash(v), "<u2") for v in (a, b))
-        assert abs(((x == y).mean() - neardup.COLLISION) / (1 - neardup.COLLISION) - real) < 0.12
+        found = neardup.estimated(x, y)
+        errors.append(found - real)
+        lost += found < neardup.least_estimate(80, min(n, neardup.REGISTERS))
+        bands = [(x[i : i + neardup.ROWS] == y[i : i + neardup.ROWS]).all() for i in range(0, neardup.BANDS * neardup.ROWS, neardup.ROWS)]
+        lost += not any(bands)
+    assert lost == 0 and abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.06
+
+
+def test_parts_of_hot_tokens(spark, monkeypatch):
+    rng = random.Random(12)
+    base = words(rng, 60)
+    rows = [(k, " ".join(edited(rng, base, 0.05))) for k in range(60)]
+    df, roots = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(0, 0)], "node long, root long")
+    one = {(r["a"], r["b"]) for r in neardup.prefix_pairs(df, roots, 2, 80).collect()}
+    monkeypatch.setattr(neardup, "MEET", 5)
+    monkeypatch.setattr(neardup, "CHUNK", 7)
+    assert {(r["a"], r["b"]) for r in neardup.prefix_pairs(df, roots, 2, 80).collect()} == one
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, 2).collect()} == brute(rows, 2)
 
 
 def passage_rows():
