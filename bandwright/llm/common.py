@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,21 +75,6 @@ def texts_of(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash. The words seen last stay at hand; their number is bounded."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over 64-bit integers."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -109,5 +93,73 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+#: Bytes that are hashed at once; longer texts go in pieces that end at white space where there is some.
+AT_ONCE = 1 << 18
+#: The multiplier of the words' hash and its inverse modulo 2**64.
+FACTOR = 0x9E3779B97F4A7C15
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Tables:
+    """Values of bytes, and the multiplier's powers and inverse powers, made once in each worker."""
+
+    def __init__(self):
+        self.values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(FACTOR))
+        self.size = -1
+
+    def reach(self, size: int) -> None:
+        if size > self.size:
+            self.size = max(size, AT_ONCE)
+            self.powers, self.inverses = (np.full(self.size + 1, x, np.uint64) for x in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+            self.powers[0] = self.inverses[0] = 1
+            np.cumprod(self.powers, out=self.powers)
+            np.cumprod(self.inverses, out=self.inverses)
+
+
+TABLES = Tables()
+
+
+def pieces(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about AT_ONCE bytes that part no word."""
+    at = 0
+    while len(text) - at > AT_ONCE:
+        stop = at + AT_ONCE
+        while stop < len(text) and text[stop] not in b" \t\n\v\f\r":
+            stop += 1
+        yield text[at:stop]
+        at = stop
+    yield text[at:]
+
+
+def word_hashes(text: bytes, edges: np.ndarray = SPACE) -> np.ndarray:
+    """One 64-bit hash, never 0, for each word of a text in order, without the bytes at its ends that edges (white space among them) marks.
+
+    Words of such bytes alone have none. A word's hash is its bytes' values times powers of FACTOR by place, modulo 2**64,
+    mixed: differences of one running sum over the text.
+    """
+    out = []
+    for piece in pieces(text):
+        a = np.frombuffer(piece, np.uint8)
+        TABLES.reach(len(a))
+        gap = np.ones(len(a) + 2, np.int8)
+        gap[1:-1] = SPACE[a]
+        turns = np.flatnonzero(gap[1:] != gap[:-1])
+        start, stop = turns[::2], turns[1::2]
+        if edges is not SPACE:
+            inner = ~edges[a]
+            places, before = np.flatnonzero(inner), np.zeros(len(a) + 1, np.int64)
+            np.cumsum(inner, out=before[1:])
+            first, last = before[start], before[stop]
+            full = first < last
+            start, stop = places[first[full]], places[last[full] - 1] + 1
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(TABLES.values[a] * TABLES.powers[: len(a)], out=sums[1:])
+        out.append(mixed((sums[stop] - sums[start]) * TABLES.inverses[start]))
+    h = out[0] if len(out) == 1 else np.concatenate(out)
+    h[h == 0] = 1
+    return h
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm.common import all_but, batch, cut, grams, texts_of
-from bandwright.llm.passages import PlainHashes
+from bandwright.llm.passages import plain_hashes
 
 N = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -33,8 +33,7 @@ class Items:
     """Test items of one block, and their n-grams."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        hashes = PlainHashes()
-        self.words = {i: hashes.plain((text or "").encode()) for i, text in rows}
+        self.words = {i: plain_hashes((text or "").encode()) for i, text in rows}
         self.words = {i: w for i, w in self.words.items() if len(w)}
         self.listed = {i: w.tolist() for i, w in self.words.items()}
         self.grams = {i: grams(w, min(N, len(w))) for i, w in self.words.items()}
@@ -165,11 +164,11 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         shared = docs.sparkSession.sparkContext.broadcast((block, Members(np.array(list(seeds), np.int64).view(np.uint64)), seeds))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            hashes, (own, members, seeds) = PlainHashes(), shared.value
+            own, members, seeds = shared.value
             for b in batches:
                 rows = []
                 for doc_id, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
-                    rows += [(doc_id, *x) for x in leaks_of(hashes.plain(text), own, members, seeds, threshold)]
+                    rows += [(doc_id, *x) for x in leaks_of(plain_hashes(text), own, members, seeds, threshold)]
                 if rows:
                     yield batch(schema, **dict(zip(names, zip(*rows, strict=True), strict=True)))
 

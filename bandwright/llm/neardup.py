@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bandwright.llm.common import WordHashes, all_but, batch, cut, grams, mixed, only, texts_of
+from bandwright.llm.common import all_but, batch, cut, grams, mixed, only, texts_of, word_hashes
 
 #: Members of a leader that are confirmed together, and a token's members of a side that meet in one part.
 CHUNK, MEET = 256, 512
@@ -43,12 +43,10 @@ ERRORS = 5.0
 TRIES = 64
 
 
-def shingle_set(text: bytes, words: int, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, a text without words none."""
-    tokens = text.lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    return np.unique(grams(hashes.of(tokens), min(words, len(tokens))))
+    h = word_hashes(text.lower())
+    return np.unique(grams(h, min(words, len(h)))) if len(h) else h
 
 
 def borrow_from(attempt: int, registers: np.ndarray) -> np.ndarray:
@@ -87,11 +85,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
             sizes, signs, marks = [], [], []
             for text in texts_of(b.column(1)):
-                s = shingle_set(text, words, hashes)
+                s = shingle_set(text, words)
                 sizes.append(len(s))
                 signs.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 marks.append(hyperminhash(s) if len(s) else None)
@@ -139,11 +136,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, head = WordHashes(), np.empty(0, np.uint64)
+        head = np.empty(0, np.uint64)
         for batch_ in batches:
             left, right = [], []
             for x, y, text in zip(batch_.column(0).to_pylist(), batch_.column(2).to_pylist(), texts_of(batch_.column(3)), strict=True):
-                own = shingle_set(text, words, hashes)
+                own = shingle_set(text, words)
                 if y is None:
                     head = own
                     continue
@@ -178,9 +175,8 @@ def set_tokens(texts: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            yield batch(schema, doc_id=b.column(0), tokens=[shingle_set(t, words, hashes).view(np.int64) for t in texts_of(b.column(1))])
+            yield batch(schema, doc_id=b.column(0), tokens=[shingle_set(t, words).view(np.int64) for t in texts_of(b.column(1))])
 
     return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens array<long>")
 

@@ -6,34 +6,22 @@ import re
 import string
 
 import numpy as np
-import xxhash
 
-from bandwright.llm.common import WordHashes
+from bandwright.llm.common import SPACE, word_hashes
 
-EDGES = string.punctuation.encode()
 SPANS = re.compile(r"[^\x20\x09-\x0D]+")
+EDGES = SPACE.copy()
+EDGES[list(string.punctuation.encode())] = True
 
 
-class PlainHashes(WordHashes):
-    """Hashes of words without case and edge punctuation; 0 for words of punctuation alone."""
+def plain_hashes(text: bytes) -> np.ndarray:
+    """A hash for each word other than bare punctuation, in order."""
+    return word_hashes(text.lower() if text.isascii() else text.decode(errors="replace").lower().encode(), EDGES)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        plain = word.strip(EDGES)
-        plain = plain.lower() if plain.isascii() else plain.decode(errors="replace").lower().encode()
-        value = self[word] = xxhash.xxh3_64_intdigest(plain) or 1 if plain else 0
-        return value
 
-    def plain(self, text: bytes) -> np.ndarray:
-        """The text's words other than bare punctuation, as hashes."""
-        h = self.of(text.split())
-        return h if h.all() else h[h != 0]
-
-
-def without(text: str, spans: list[tuple[int, int]], hashes: PlainHashes) -> str:
+def without(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the given ranges of plain words, bare punctuation between them included."""
-    places = [m.span() for m in SPANS.finditer(text) if hashes[m[0].encode()]]
+    places = [m.span() for m in SPANS.finditer(text) if m[0].strip(string.punctuation)]
     out, at = [], 0
     for start, stop in sorted(spans):
         out.append(text[at : max(at, places[start][0])])

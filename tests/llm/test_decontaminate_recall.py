@@ -15,6 +15,6 @@ def test_evenly_edited_copies_leak(spark, step):
             copy = [f"e{k}x{i}" if i % step == phase else w for i, w in enumerate(item)]
             items.append((k, " ".join(item)))
             docs.append((k, " ".join(words(rng, 40) + copy + words(rng, 40))))
-    plain = {(k, k) for k in range(len(items)) if decontaminate.smith_waterman(*(decontaminate.PlainHashes().plain(x.encode()) for x in (items[k][1], docs[k][1])))[0] >= decontaminate.THRESHOLD * decontaminate.MATCH * len(items[k][1].split())}
+    plain = {(k, k) for k in range(len(items)) if decontaminate.smith_waterman(*(decontaminate.plain_hashes(x.encode()) for x in (items[k][1], docs[k][1])))[0] >= decontaminate.THRESHOLD * decontaminate.MATCH * len(items[k][1].split())}
     found = decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string"))
     assert len(plain) > 40 and plain == {(r["doc_id"], r["item_id"]) for r in found.collect()}

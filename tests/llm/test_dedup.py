@@ -4,7 +4,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from bandwright.llm import decontaminate, neardup, substring
-from bandwright.llm.passages import PlainHashes, without
+from bandwright.llm.common import AT_ONCE, word_hashes
+from bandwright.llm.passages import plain_hashes, without
 
 SCHEMA = "doc_id long, text string"
 
@@ -131,12 +132,12 @@ def passage_rows():
 def test_repeats_find_every_exact_run(spark):
     rows = passage_rows() + [(90, None), (91, ""), (92, "short"), (None, " ".join(["w"] * 100))]
     found = substring.repeats(spark.createDataFrame(rows, SCHEMA).withColumn("place", F.lit("x"))).collect()
-    spans, seen, hashes = defaultdict(list), {}, PlainHashes()
+    spans, seen = defaultdict(list), {}
     for r in found:
         assert r["ref_id"] < r["doc_id"] and r["identity"] >= substring.IDENTITY
         spans[r["doc_id"]].append((r["start"], r["stop"]))
     for k, t in rows[:40]:
-        h = hashes.plain(t.encode())
+        h = plain_hashes(t.encode())
         own = [h[i : i + 50].tobytes() for i in range(len(h) - 49)]
         for i, w in enumerate(own):
             if w in seen:
@@ -169,7 +170,18 @@ def test_best_chain_equals_quadratic():
 
 
 def test_without():
-    assert without("A, b -- c. D e", [(1, 3)], PlainHashes()) == "A,  D e"
+    assert without("A, b -- c. D e", [(1, 3)]) == "A,  D e"
+
+
+def test_word_hashes():
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcé.,") for _ in range(rng.randrange(1, 9))) for _ in range(3000)) + "\t\n x\x0b" + "long" * 3000
+    for t in (text, "", " ", ".. ,", "one", text * (1 + 3 * AT_ONCE // len(text))):
+        words_, plain = t.encode().split(), [w for w in (x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in t.lower().split()) if w]
+        for h, expected in ((word_hashes(t.encode()), words_), (plain_hashes(t.encode()), plain)):
+            known = dict(zip(expected, h.tolist(), strict=True))
+            assert [known[w] for w in expected] == h.tolist() and len(set(known.values())) == len(known) and 0 not in known.values()
+    assert plain_hashes(b"A, b").tolist() == plain_hashes(b"'a B!").tolist() and plain_hashes("É".encode())[0] == plain_hashes("é".encode())[0]
 
 
 def test_leaks(spark):
