@@ -147,6 +147,19 @@ def test_repeats_find_every_exact_run(spark):
     assert {k for k in spans} <= {k for k, _ in rows[:40] if k % 2}
 
 
+def test_repeats_do_not_depend_on_the_layout(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = passage_rows() + [(200 + k, " ".join(words(rng, 30) + passage_rows()[1][1].split()[:90] + words(rng, 20))) for k in range(25)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = sorted(map(tuple, substring.repeats(df.repartition(1)).collect()))
+    assert len(one) > 30
+    monkeypatch.setattr(substring, "TOGETHER", 3)
+    monkeypatch.setattr(substring, "FLUSH", 500)
+    monkeypatch.setattr(substring, "SHARE", 400)
+    for parts in (16, 61):
+        assert sorted(map(tuple, substring.repeats(df.repartition(parts)).collect())) == one
+
+
 def test_remove_repeats(spark):
     rows = passage_rows() + [(None, "kept as it is"), (95, None)]
     left = substring.remove_repeats(spark.createDataFrame(rows, SCHEMA).withColumn("block", F.lit(3)))
