@@ -215,6 +215,38 @@ def test_leaks(spark):
     assert decontaminate.leaks(table, tests.where("false")).count() == 0 and decontaminate.leaks(table.where("false"), tests).count() == 0
 
 
+def test_rare_seeds_keep_what_all_pairs_find(spark):
+    rng = random.Random(31)
+    common = words(rng, 25)  # frequent bigrams of many items
+    items = [(i, " ".join(words(rng, 6) + common[i % 5 : i % 5 + rng.randrange(3, 20)] + words(rng, rng.randrange(4, 20)))) for i in range(25)]
+    docs = []
+    for k in range(100):
+        text, own = words(rng, 60), items[k % 25][1].split()
+        if k < 75:
+            step = (3, 4, 10)[k // 25]
+            text[20:20] = [w if j % step != k % step else f"e{k}x{j}" for j, w in enumerate(own)] if k % 2 else [w for j, w in enumerate(own) if j % step != k % step]
+        else:
+            text[10:10] = common
+        docs.append((k, " ".join(text)))
+    plain = {(k, i) for k, t in docs for i, x in items if decontaminate.smith_waterman(plain_hashes(x.encode()), plain_hashes(t.encode()))[0] >= decontaminate.THRESHOLD * decontaminate.MATCH * len(x.split())}
+    found = decontaminate.leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(plain) > 70 and {(r["doc_id"], r["item_id"]) for r in found} == plain
+
+
+def test_blocks_of_items_and_clashing_names(spark, monkeypatch):
+    rng = random.Random(32)
+    items = [(i, " ".join(words(rng, 20))) for i in range(30)] + [(99, " ".join(words(rng, 6_000)))]
+    docs = [(k, " ".join(words(rng, 10)) + " " + items[k][1]) for k in range(0, 30, 3)] + [(99, items[30][1])]
+    table, tests = spark.createDataFrame(docs, SCHEMA).withColumn("leaking_id", F.lit(1)).withColumn("cut_id", F.lit(1)).withColumn("cut_spans", F.lit("x")), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontaminate.leaks(table, tests).collect()))
+    assert [r[:2] for r in one] == [(k, k) for k, _ in docs]
+    assert decontaminate.decontaminate(table, tests).count() == 0
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60_000)
+    assert sorted(map(tuple, decontaminate.leaks(table, tests).collect())) == one
+    left = substring.remove_repeats(table)
+    assert left.columns == table.columns and left.count() == len(docs)
+
+
 def test_smith_waterman_equals_plain():
     import numpy as np
 
@@ -227,3 +259,5 @@ def test_smith_waterman_equals_plain():
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         score, start, stop = decontaminate.smith_waterman(a, b)
         assert score == h.max() and 0 <= start <= stop <= len(b)
+        if score:  # the passage itself aligns as well
+            assert decontaminate.smith_waterman(a, b[start:stop])[0] == score
