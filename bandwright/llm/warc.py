@@ -3,7 +3,8 @@
 An ARC file starts with a version block; each record is one header line, whose fields the version names, and as many bytes
 as the line's last field declares. The converter walks the declared lengths, and gives each record what WARC asks for and
 ARC lacks: an identifier (a UUID from the record's own bytes, so a repeated conversion gives the same), an ISO date, a
-record type and digests. Records whose payload another record already holds become revisits of it.
+record type and digests. Records whose payload another record already holds become revisits of it. A damaged line or a
+payload that is cut off is an error row; reading goes on at the next line that is a record's.
 
 Files are gzip members, one for each record, in folders that driver and executors share.
 """
@@ -11,7 +12,7 @@ Files are gzip members, one for each record, in folders that driver and executor
 from __future__ import annotations
 
 import hashlib
-import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,11 @@ FIELDS = {
     2: ("url", "ip", "date", "type", "code", "checksum", "location", "offset", "filename", "length"),
 }
 NAMES = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
-PAGE = "x-page"
+IP, DATE, NUMBER = rb"([0-9A-Fa-f.:]+)", rb"(\d{4,14})", rb"(\d+)"
+LINES = {
+    1: re.compile(rb" ".join((rb"(\S.*)", IP, DATE, rb"(\S+)", NUMBER))),
+    2: re.compile(rb" ".join((rb"(\S.*)", IP, DATE, rb"(\S+)", rb"(\S+)", rb"(\S+)", rb"(\S+)", rb"(\S+)", rb"(\S+)", NUMBER))),
+}
 
 
 # ARC
@@ -92,28 +97,58 @@ class Bytes:
         while len(self.ahead) < size and self.more():
             pass
         if len(self.ahead) < size:
-            raise ValueError(f"the file ends {size - len(self.ahead)} bytes early")
+            raise EOFError(f"the file ends {size - len(self.ahead)} bytes early")
         out, self.ahead = self.ahead[:size], self.ahead[size:]
         return out
 
 
-def arc_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, payload) of the URL records of an ARC file; the version block says how to read the lines."""
-    data, fields = Bytes(source), None
+def readable(raw: bytes) -> str:
+    """UTF-8, or Latin-1 where it is none."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
+def arc_records(source) -> Iterator[tuple[dict[str, str] | None, bytes, str | None]]:
+    """(fields, payload, error) of the URL records of an ARC file in order; the version block says how to read the lines.
+
+    A url may hold blanks. Lines that are no record's come together as one entry without fields, whose payload they are and
+    whose error says what is wrong; so does a payload that ends early. A file without a version block is one such entry.
+    """
+    data, version, lost = Bytes(source), None, []
     while line := data.line():
         if not line.strip():
+            if lost:
+                lost.append(line)
+            continue
+        line = line.rstrip(b"\r\n")
+        if version is None:
+            parts = line.split(b" ")
+            try:
+                body = data.take(int(parts[-1]))
+                version = int(body.split(b" ", 1)[0])
+            except (ValueError, EOFError):
+                version = 0
+            if not line.startswith(b"filedesc://") or version not in FIELDS:
+                yield None, line, "no version block"
+                return
             continue
-        parts = line.decode().rstrip("\r\n").split(" ")
-        body = data.take(int(parts[-1]))
-        if fields is None:
-            version = int(body.split(b" ", 1)[0])
-            if not parts[0].startswith("filedesc://") or version not in FIELDS:
-                raise ValueError("not an ARC version block")
-            fields = FIELDS[version]
+        m = LINES[version].fullmatch(line)
+        if m is None:
+            lost.append(line + b"\n")
             continue
-        if len(parts) != len(fields):
-            raise ValueError(f"a record line has {len(parts)} fields, its version {len(fields)}")
-        yield dict(zip(fields, parts, strict=True)), body
+        if lost:
+            yield None, b"".join(lost), "no record line"
+            lost = []
+        fields = dict(zip(FIELDS[version], map(readable, m.groups()), strict=True))
+        try:
+            yield fields, data.take(int(fields["length"])), None
+        except EOFError as e:
+            yield None, line, str(e)
+            return
+    if lost:
+        yield None, b"".join(lost), "no record line"
 
 
 # WARC
@@ -130,17 +165,25 @@ def warc_header(fields: dict[str, str], size: int) -> bytes:
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + f"\r\nContent-Length: {size}\r\n\r\n").encode()
 
 
-def record_id(url: str, date: str, digest: str, place: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {digest} {place}')}>"
+def record_id(file: str, place: int) -> str:
+    """Of the record at a place of an ARC file; each conversion gives it the same."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{place}')}>"
+
 
+def warc_info(name: str) -> bytes:
+    """The record that starts a file."""
+    body = b"software: bandwright\r\nformat: WARC File Format 1.1\r\n"
+    fields = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": warc_date("2020"), "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return warc_header(fields, len(body)) + body + b"\r\n\r\n"
 
-def converted(arc: dict[str, str], payload: bytes, place: str, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record; with refers_to a revisit, which holds no payload."""
+
+def converted(arc: dict[str, str], payload: bytes, own_id: str, key: str, refers_to: tuple[str, str] | None = None) -> bytes:
+    """The WARC record of an ARC record; with refers_to (record id, key) a revisit, which holds no payload. key: its number in the table it is from."""
     digest = hashlib.sha256(payload).hexdigest()
-    fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": record_id(arc["url"], arc["date"], digest, place), "WARC-Date": warc_date(arc["date"]), "WARC-Target-URI": arc["url"], "WARC-IP-Address": arc["ip"]}
-    fields |= {"WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": arc["type"], "X-Payload-Length": str(len(payload)), "X-Record": place}
+    fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": own_id, "WARC-Date": warc_date(arc["date"]), "WARC-Target-URI": "".join(f"%{ord(c):02X}" if c <= " " else c for c in arc["url"]), "WARC-IP-Address": arc["ip"]}
+    fields |= {"WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": arc["type"], "X-Payload-Length": str(len(payload)), "X-Record": key}
     if refers_to is not None:
-        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To": refers_to}
+        fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": refers_to[0], "X-Refers-To": refers_to[1]}
         payload = b""
     fields["WARC-Block-Digest"] = f"sha256:{hashlib.sha256(payload).hexdigest()}"
     return warc_header(fields, len(payload)) + payload + b"\r\n\r\n"
@@ -193,7 +236,11 @@ RECORDS = pa.schema([("file", pa.string()), ("place", pa.int64()), ("page_id", p
 
 
 def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "20200101000000") -> DataFrame:
-    """Writes pages (page_id, url, html) as ARC files and returns a row for each record: (file, place, page_id, digest, size)."""
+    """Writes pages (page_id, url, html) as ARC files and returns a row for each record: (file, place, page_id, digest, size).
+
+    Null html is an empty payload, a null or empty url is "-"; null and repeated ids are written as they come. Other
+    columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, place = Members(folder, "arc.gz"), 0
@@ -215,36 +262,66 @@ def write_arc(pages: DataFrame, folder: str, version: int = 1, date: str = "2020
     return cut(rows.mapInArrow(run, "file string, place long, page_id long, digest binary, size long"))
 
 
+def scan_arc(files: DataFrame) -> DataFrame:
+    """(file, place, page_id, digest, size, error) of every entry of the ARC files of files (file); page_id is null, error null where the record is sound."""
+    schema = pa.schema([*RECORDS, ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file in b.column(0).to_pylist():
+                where, inside = fs.FileSystem.from_uri(file)
+                with where.open_input_stream(inside, compression=None) as source:
+                    rows = [(file, i, None, hashlib.sha256(payload).digest(), len(payload), error) for i, (_, payload, error) in enumerate(arc_records(source))]
+                if rows:
+                    yield batch(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
+
+    files = files.select("file")
+    return cut(files.repartition(min(max(1, files.count()), MOST_TASKS)).mapInArrow(run, "file string, place long, page_id long, digest binary, size long, error string"))
+
+
 def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """Adds response_id: of equal payloads of at least min_bytes the smallest page_id, null for that record itself and for others.
+    """Adds response_id, response_file and response_place: of equal payloads of at least min_bytes the record with the smallest page_id, null for that record itself and for others.
 
     Records without a page_id are responses. Of rows that repeat the smallest page_id each is a response.
     """
-    least = records.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    least = records.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "file", "place")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     least = least.withColumnRenamed("digest", "least_digest")
-    return records.join(least, F.col("digest") == F.col("least_digest"), "left").withColumn("response_id", F.when(F.col("page_id") > F.col("least"), F.col("least"))).drop("least", "least_digest")
+    met = records.join(least, F.col("digest") == F.col("least_digest"), "left")
+    own = {f"response_{n}": F.when(F.col("page_id") > F.col("least.page_id"), F.col(f"least.{c}")) for n, c in (("id", "page_id"), ("file", "file"), ("place", "place"))}
+    return met.withColumns(own).drop("least", "least_digest")
 
 
 def convert(records: DataFrame, folder: str) -> DataFrame:
-    """Converts the ARC files of records (file, place, page_id, response_id) and returns the WARC files: (file, records)."""
-    own = F.array_sort(F.collect_list(F.struct("place", "page_id", "response_id")))  # bounded by a file's records
+    """Converts the ARC files of records (file, place, page_id, response_...) and returns the WARC files: (file, records, errors).
+
+    Entries of a file that are damaged are counted as errors and left out.
+    """
+    own = F.array_sort(F.collect_list(F.struct("place", "page_id", "response_id", "response_file", "response_place")))  # bounded by a file's records
     files = records.select("file").distinct().count()
     jobs = records.groupBy("file").agg(own.alias("own")).repartition(min(max(1, files), MOST_TASKS))  # small rows, but each is a file's work
-    schema = pa.schema([("file", pa.string()), ("records", pa.int64())])
+    schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("errors", pa.int64())])
+    text = lambda x: "None" if x is None else str(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 where, inside = fs.FileSystem.from_uri(file)
-                files = Members(folder, "warc.gz")
+                files, known, sound, errors = Members(folder, "warc.gz"), {x["place"]: x for x in own}, 0, 0
                 files.roll()
+                files.write(warc_info(files.name))
                 with where.open_input_stream(inside, compression=None) as source:
-                    for x, (arc, payload) in zip(own, arc_records(source), strict=True):
-                        files.write(converted(arc, payload, str(x["page_id"]), None if x["response_id"] is None else str(x["response_id"])))
+                    for place, (arc, payload, error) in enumerate(arc_records(source)):
+                        if error is not None:
+                            errors += 1
+                            continue
+                        x = known[place]
+                        refers_to = None if x["response_id"] is None else (record_id(x["response_file"], x["response_place"]), text(x["response_id"]))
+                        files.write(converted(arc, payload, record_id(file, place), text(x["page_id"]), refers_to))
+                        sound += 1
                 files.close()
-                yield batch(schema, file=[files.file], records=[len(own)])
+                yield batch(schema, file=[files.file], records=[sound], errors=[errors])
 
-    return cut(jobs.mapInArrow(run, "file string, records long"))
+    return cut(jobs.mapInArrow(run, "file string, records long, errors long"))
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -261,6 +338,8 @@ def read_warc(files: DataFrame) -> DataFrame:
                 with where.open_input_stream(inside, compression=None) as source:
                     rows, size = [], 0
                     for f, payload in warc_records(source):
+                        if f["WARC-Type"] == "warcinfo":
+                            continue
                         digest = f["WARC-Payload-Digest"].removeprefix("sha256:")
                         if f["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError(f"{f['WARC-Record-ID']}: the payload differs from its digest")
@@ -277,7 +356,10 @@ def read_warc(files: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, version: int = 1) -> DataFrame:
-    """Pages to ARC files, those converted to WARC files, those read back: (page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, date)."""
+    """Pages to ARC files, those converted to WARC files, those read back: (page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, date).
+
+    Every row comes back once: null html as an empty payload, null ids as null, repeated rows each.
+    """
     folder = run_dir(pages.sparkSession, "archives")
     records = write_arc(pages, f"{folder}/arc", version)
     back = read_warc(convert(revisits(records), f"{folder}/warc"))
@@ -290,7 +372,3 @@ d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= {MIN_REVISIT} AND page_id > least THEN least END AS refers_to FROM m"""
-
-
-def as_file(data: bytes) -> io.BytesIO:
-    return io.BytesIO(data)

@@ -203,8 +203,46 @@ def test_arc_versions():
     for version in (1, 2):
         data = warc.arc_version_block(version, "n", "20200101000000") + warc.arc_record(version, "http://a b", "2020", "text/html", b"one\n\n") + b"\n" + warc.arc_record(version, "u", "20200102030405", "t", b"")
         found = list(warc.arc_records(io.BytesIO(data)))
-        assert [(f["url"], p) for f, p in found] == [("http://a%20b", b"one\n\n"), ("u", b"")] and warc.warc_date(found[0][0]["date"]) == "2020-01-01T00:00:00Z"
-    with pytest.raises(ValueError):
-        list(warc.arc_records(io.BytesIO(b"http://x 0.0.0.0 2020 t 3\nabc\n")))
-    with pytest.raises(ValueError):
-        list(warc.arc_records(io.BytesIO(data[:-3] + b" 9\n")))
+        assert [(f["url"], p, e) for f, p, e in found] == [("http://a%20b", b"one\n\n", None), ("u", b"", None)] and warc.warc_date(found[0][0]["date"]) == "2020-01-01T00:00:00Z"
+        assert [x[2] for x in warc.arc_records(io.BytesIO(b"http://x 0.0.0.0 2020 t 3\nabc\n"))] == ["no version block"]
+
+
+def test_damaged_archives_go_on(spark, tmp_path):
+    head, good = warc.arc_version_block(1, "n", "20200101000000"), lambda k: warc.arc_record(1, f"http://h/{k}", "20200101000000", "text/html", b"x" * k)
+    files = {
+        "blank": (head + b"http://h/a b c 1.2.3.4 2020 text/html 3\nabc\n" + good(5), [None, None]),
+        "latin": (head + b"http://h/\xe9 1.2.3.4 2020 text/html 3\nabc\n" + good(5), [None, None]),
+        "line": (head + good(4) + b"http://h/ 1.2.3.4 2020\n\xff\xfe junk\n" + good(5), [None, "no record line", None]),
+        "short": (head + b"http://h/s 1.2.3.4 2020 text/html 3\nabcdef\nmore\n" + good(5), [None, "no record line", None]),
+        "end": (head + good(4) + b"http://h/e 1.2.3.4 2020 text/html 99\nabc\n", [None, "the file ends 95 bytes early"]),
+        "none": (b"junk\n" + good(5), ["no version block"]), "empty": (b"", []),
+    }
+    for name, (data, _) in files.items():
+        (tmp_path / f"{name}.arc").write_bytes(data)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{name}.arc",) for name in files], "file string")
+    scanned = warc.scan_arc(paths)
+    found = {}
+    for r in scanned.orderBy("file", "place").collect():
+        found.setdefault(r["file"].rsplit("/", 1)[1][:-4], []).append(r["error"])
+    assert found == {name: errors for name, (_, errors) in files.items() if errors}
+    out = warc.convert(warc.revisits(scanned), f"file://{tmp_path}/warc")
+    assert out.groupBy().sum("records", "errors").first()[:] == (9, 4)
+    back = warc.read_warc(out).collect()
+    assert sorted(r["url"] for r in back) == sorted(["http://h/a%20b%20c", "http://h/é", "http://h/s", *["http://h/4"] * 2, *["http://h/5"] * 4]) and len({r["record_id"] for r in back}) == 9
+
+
+def test_revisits_refer_to_their_response(spark):
+    df = spark.createDataFrame([(k, "http://a", "same payload " * 20) for k in range(5)], "page_id long, url string, html string").repartition(3)
+    from bandwright.llm.common import run_dir
+
+    folder = run_dir(spark, "test")
+    files = warc.convert(warc.revisits(warc.write_arc(df, f"{folder}/arc")), f"{folder}/warc").collect()
+    fields, kinds = {}, []
+    for f in files:
+        where, inside = warc.fs.FileSystem.from_uri(f["file"])
+        with where.open_input_stream(inside, compression=None) as source:
+            for x, _ in warc.warc_records(source):
+                kinds.append(x["WARC-Type"])
+                fields[x.get("X-Record")] = x
+    assert sorted(kinds) == sorted(["warcinfo"] * len(files) + ["response"] + ["revisit"] * 4)
+    assert {fields[str(k)]["WARC-Refers-To"] for k in range(1, 5)} == {fields["0"]["WARC-Record-ID"]}
