@@ -1,7 +1,7 @@
 """Token ids of whole texts, computed word by word with the tokenizers library.
 
-The vocabulary's pre-tokenizer never joins characters across ASCII white space, so a text's ids are those of its words in
-order. Words repeat: each Python worker keeps the ids of the words seen last, within a bound, and hands the others to the
+Where a vocabulary's pre-tokenizer never joins characters across ASCII white space, a text's ids are those of its words in
+order; a probe at the start decides, and other vocabularies take whole texts. Words repeat: each Python worker keeps the ids of the words seen last, within a bound, and hands the others to the
 library many at a time. Words of letters with trailing punctuation are cut into pre-tokens here, as the vocabulary's
 pre-tokenizer would, and go to its BPE model straight away; any other word takes the whole tokenizer.
 """
@@ -49,6 +49,9 @@ class WordTokenizer:
         whole = [self.whole(w) for w in probe]
         self.direct = True
         self.direct = self.fresh(probe) == whole
+        mixed = b"The  quick\n\nbrown \t fox's 12 jumps,\r\nover \xc3\x89t\xc3\xa9 -- a.b \n x  "
+        #: whether a text's ids are its words' ids
+        self.by_word = self.whole(mixed) == b"".join(map(self.whole, mixed.split()))
 
     def whole(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -113,6 +116,9 @@ class WordTokenizer:
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each UTF-8 text, as many texts at a time as hold a few thousand words."""
+        if not self.by_word:
+            yield from map(self.whole, texts)
+            return
         pending: list[list[bytes]] = []
         size = 0
         for text in texts:

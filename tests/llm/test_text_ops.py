@@ -33,6 +33,19 @@ def test_tokenizer_equals_library():
     assert t.direct and [np.frombuffer(f, "<u4").tolist() + [2] for f in found] == reference(texts, 2)
 
 
+def test_vocabularies_that_join_words_take_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    t = Tokenizer(models.BPE({**letters, "\u0120a": 256}, [("\u0120", "a")]))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)  # a blank goes with the word behind it
+    t.save(str(tmp_path / "t.json"))
+    found = tokens.WordTokenizer(str(tmp_path / "t.json"))
+    texts = ["a a  b", "", "a\n\na É x"]
+    assert not found.by_word and [np.frombuffer(x, "<u4").tolist() for x in found.encode_all(x.encode() for x in texts)] == [t.encode(x).ids for x in texts]
+    assert tokens.WordTokenizer(PATH).by_word
+
+
 def test_token_files(spark):
     texts = some_texts()
     rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
