@@ -12,6 +12,8 @@ from bandwright.functions import distances
 from bandwright.functions.arrays import rounded
 
 MAX_ROUNDS = 40
+#: Centres that one broadcast row holds at most.
+MAX_CENTRES = 10_000
 
 
 @dataclass(frozen=True)
@@ -46,9 +48,11 @@ def centroids(points: DataFrame, assigned: DataFrame, strategy: Strategy = HELLI
 
 def assign(points: DataFrame, centres: DataFrame, strategy: Strategy = HELLINGER) -> DataFrame:
     """(track_id, cluster_id): nearest centre by distance to 9 digits, the lowest cluster on ties. centres: (cluster_id, hist), few."""
-    met = points.select("track_id", "hist").join(F.broadcast(centres.select("cluster_id", F.col("hist").alias("centre"))))
-    d = rounded(strategy.distance(F.col("hist"), F.col("centre")), 9)
-    return met.groupBy("track_id").agg(F.min(F.struct(d.alias("d"), "cluster_id")).alias("best")).select("track_id", "best.cluster_id")
+    if centres.count() > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
+    one = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "hist"))).alias("centres")))
+    near = lambda c: F.struct(rounded(strategy.distance(F.col("hist"), c["hist"]), 9).alias("d"), c["cluster_id"].alias("cluster_id"))
+    return points.select("track_id", "hist").join(one).select("track_id", F.array_min(F.transform("centres", near))["cluster_id"].alias("cluster_id"))
 
 
 def spread_seeds(points: DataFrame, k: int, strategy: Strategy = HELLINGER, first: int | None = None) -> DataFrame:

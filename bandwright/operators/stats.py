@@ -42,11 +42,13 @@ def smoothed(means: DataFrame, share: int = 100, width: int | None = None) -> Da
     w = W.partitionBy("track_id").orderBy("i")
     if width is not None:
         return means.select("track_id", "i", F.avg("mean").over(w.rowsBetween(0, width - 1)).alias("smooth"))
-    n = F.count("*").over(W.partitionBy("track_id"))
-    rest = F.collect_list("mean").over(w.rowsBetween(0, W.unboundedFollowing))
-    size = F.greatest(F.lit(1), F.floor(n / share)).cast("int")
-    own = means.select("track_id", "i", F.slice(rest, 1, size).alias("part"))
-    return own.select("track_id", "i", (total("part") / F.size("part")).alias("smooth"))
+    # Sums up to each row; a part's sum is that at its last row less that before its first.
+    every = W.partitionBy("track_id")
+    rows = means.select("track_id", "i", "mean", F.row_number().over(w).alias("k"), F.sum("mean").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("sum"), F.count("*").over(every).alias("n"))
+    size = F.greatest(F.lit(1), F.floor(F.col("n") / share))
+    first = rows.withColumn("last", F.least(F.col("k") + size - 1, F.col("n")).cast("int"))
+    last = rows.select("track_id", F.col("k").alias("last"), F.col("sum").alias("sum_last"))
+    return first.join(last, ["track_id", "last"]).select("track_id", "i", ((F.col("sum_last") - F.col("sum") + F.col("mean")) / (F.col("last") - F.col("k") + 1)).alias("smooth"))
 
 
 def dramatisation(smooth: DataFrame) -> DataFrame:

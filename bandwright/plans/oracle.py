@@ -44,7 +44,7 @@ FROM (SELECT user_id AS track_id, date_diff('day', DATE '2024-01-01', CAST(ts AS
 (VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')) AS k(band, kind) GROUP BY ALL)"""
 
 
-_LOUD = f"{_days(300.0)}, loud AS (SELECT track_id, frame_no, sum(v) AS total FROM cell GROUP BY ALL HAVING max(v) > 0)"
+_LOUD = f"{_days(150.0)}, loud AS (SELECT track_id, frame_no, sum(v) AS total FROM cell GROUP BY ALL HAVING max(v) > 0)"
 _COUNTS = f"""{_LOUD}, binned AS (SELECT track_id, band, CAST(floor(least(greatest(v, 0), 1 - 1e0 / 16) * 16) AS INTEGER) AS bin, count(*) AS c FROM cell JOIN loud USING (track_id, frame_no) GROUP BY ALL),
 grid AS (SELECT track_id, band, bin FROM (SELECT DISTINCT track_id FROM loud), range(5) AS b(band), range(16) AS k(bin)),
 counts AS (SELECT track_id, CAST(band AS INTEGER) AS band, CAST(bin AS INTEGER) AS bin, coalesce(c, 0) AS count FROM grid LEFT JOIN binned USING (track_id, band, bin))"""
@@ -201,7 +201,7 @@ lim AS (SELECT max(t) FILTER (WHERE above > 0.95e0 * n) AS low, min(t) FILTER (W
 SELECT track_id, frame_no, band, round(coalesce(least(greatest((v - coalesce(low, 0)) / nullif(high - coalesce(low, 0), 0), 0), 1), 0), 6) AS scaled FROM cell, lim"""
 RASTER = f"""WITH {_DAYS}, px AS (SELECT track_id, frame_no, band, CAST(floor(least(greatest(v, 0), 1) * 16777215) AS BIGINT) AS c FROM cell)
 SELECT track_id, frame_no, band, c & 255 AS r, (c >> 8) & 255 AS g, (c >> 16) & 255 AS b FROM px"""
-TRAJECTORY = f"""WITH {_days(300.0)} SELECT track_id, frame_no, round(max(v) FILTER (WHERE band = 0), 6) AS x, round(max(v) FILTER (WHERE band = 1), 6) AS y, round(max(v) FILTER (WHERE band = 2), 6) AS z
+TRAJECTORY = f"""WITH {_days(150.0)} SELECT track_id, frame_no, round(max(v) FILTER (WHERE band = 0), 6) AS x, round(max(v) FILTER (WHERE band = 1), 6) AS y, round(max(v) FILTER (WHERE band = 2), 6) AS z
 FROM cell WHERE band < 3 GROUP BY track_id, frame_no HAVING max(v) > 1e-5"""
 
 # Signals
@@ -218,14 +218,28 @@ SELECT track_id, f, round(f * 600e0 / n, 6) AS bpm, round(CASE WHEN f = 0 OR f *
 
 
 _VEC = "vec AS (SELECT vec_id AS track_id, CAST(i - 1 AS INTEGER) AS k, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) AS t(i))"
-HARMONIC = f"""WITH {_VEC} SELECT a.track_id, a.k AS bin, round(abs(a.x) * coalesce(abs(b.x), 0) * coalesce(abs(c.x), 0), 6) + 0e0 AS product
-FROM vec AS a LEFT JOIN vec AS b ON b.track_id = a.track_id AND b.k = 2 * a.k LEFT JOIN vec AS c ON c.track_id = a.track_id AND c.k = 3 * a.k"""
+HARMONIC = """SELECT vec_id AS track_id, CAST(k AS INTEGER) AS bin, round(abs(CAST(embedding[k + 1] AS DOUBLE)) * coalesce(abs(CAST(embedding[2 * k + 1] AS DOUBLE)), 0) * coalesce(abs(CAST(embedding[3 * k + 1] AS DOUBLE)), 0), 6) + 0e0 AS product
+FROM embeddings, range(64) AS r(k)"""
 NOTES = f"""WITH {_VEC}, top AS (SELECT track_id, k, abs(x) >= 0.75e0 * max(abs(x)) OVER (PARTITION BY track_id) AS b FROM vec)
 SELECT track_id, CAST(floor(12 / ln(2) * (ln(k) + ln(8000 / (128 * 130.812e0)))) AS INTEGER) AS note, max(CAST(b AS INTEGER)) AS active FROM top WHERE k >= floor(130.812e0 * 128 / 8000) AND k >= 1 GROUP BY ALL"""
 _D4 = "d4 AS (SELECT (1 + sqrt(3)) / (4 * sqrt(2)) AS a, (3 + sqrt(3)) / (4 * sqrt(2)) AS b, (3 - sqrt(3)) / (4 * sqrt(2)) AS c, (1 - sqrt(3)) / (4 * sqrt(2)) AS d)"
 _FILTER = f"""{_D4}, tap AS (SELECT CAST(o AS INTEGER) AS o, CAST((2 * (o % 32) + t) % 64 AS INTEGER) AS k, CASE WHEN o < 32 THEN [a, b, c, d][t + 1] ELSE [d, -c, b, -a][t + 1] END AS w FROM d4, range(64) AS r(o), range(4) AS s(t))"""
 DWT = f"WITH {_VEC}, {_FILTER} SELECT track_id, o AS k, round(sum(x * w), 6) + 0e0 AS x FROM vec JOIN tap USING (k) GROUP BY ALL"
 DWT_INVERSE = f"WITH {_VEC}, {_FILTER} SELECT track_id, tap.k, round(sum(x * w), 6) + 0e0 AS x FROM vec JOIN tap ON vec.k = tap.o GROUP BY ALL"
+
+
+def dwt_full(size: int) -> str:
+    """All levels of the D4 transform, one table each: taps over the smooth part so far, whose details stand behind it."""
+    parts, done, before = [f"WITH {_VEC}, {_D4}"], [], "vec"
+    while size >= 4:
+        half = size // 2
+        parts.append(f"""t{size} AS (SELECT CAST(o AS INTEGER) AS o, CAST((2 * (o % {half}) + t) % {size} AS INTEGER) AS k, CASE WHEN o < {half} THEN [a, b, c, d][t + 1] ELSE [d, -c, b, -a][t + 1] END AS w FROM d4, range({size}) AS r(o), range(4) AS s(t)),
+l{size} AS (SELECT track_id, o AS k, sum(x * w) AS x FROM {before} JOIN t{size} USING (k) GROUP BY ALL)""")
+        done.append(f"SELECT * FROM l{size} WHERE k >= {half if size > 4 else 0}")
+        before, size = f"(SELECT * FROM l{size} WHERE k < {half})", half
+    return ", ".join(parts) + f" SELECT track_id, k, round(x, 5) + 0e0 AS x FROM ({' UNION ALL '.join(done)})"
+
+
 DWT_ROUND_TRIP = f"WITH {_VEC} SELECT track_id, k, round(x, 5) + 0e0 AS x FROM vec"
 GABOR = """WITH pos AS (SELECT user_id AS track_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 scale AS (SELECT CAST(k AS INTEGER) AS k, pow(2, -k / 12e0) AS den, sqrt(2 * ln(1e4)) * pow(2, -k / 12e0) * 400 AS reach FROM range(24, 12 * CAST(floor(log2(200 / 16.352e0)) AS BIGINT)) AS r(k)),
@@ -233,6 +247,14 @@ hop AS (SELECT DISTINCT track_id, pos AS u FROM pos WHERE pos % 16 = 0),
 t AS (SELECT hop.track_id, k, u, den, (pos - u) / 400e0 / den AS t, value FROM hop JOIN pos USING (track_id), scale WHERE pos >= greatest(0, floor(u - reach)) AND pos < floor(u + reach))
 SELECT track_id, k, u, round(sqrt(pow(sum(exp(-0.5e0 * t * t) / sqrt(den) * value * cos(2 * pi() * 16.352e0 * t)), 2) + pow(sum(exp(-0.5e0 * t * t) / sqrt(den) * value * sin(2 * pi() * 16.352e0 * t)), 2)), 4) AS power FROM t GROUP BY ALL"""
 
+# Files
+
+#: Two seconds more than the least of eight, all frames loud, each of 24 bands summing to 1.
+INGEST = "SELECT s_suppkey AS track_id, CAST(10 AS INTEGER) AS length, CAST(ceil((10 * 44100 - 2048) / 1024e0) AS BIGINT) AS frames, CAST(24 AS INTEGER) AS bands, 24e0 AS mass FROM supplier"
+LEGACY = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings)
+SELECT '/parts/' || p_partkey AS fname, p_name AS title, p_brand AS artist, p_type AS album, CAST(p_size AS INTEGER) AS track, CAST(p_size * 37 AS INTEGER) AS length,
+  round(CAST(CAST(e[1] / list_sum(e[1:16]) AS FLOAT) AS DOUBLE), 5) AS first_cell, round(CAST(CAST(e[64] / list_sum(e[49:64]) AS FLOAT) AS DOUBLE), 5) AS last_cell, false AS exclude FROM part JOIN v ON vec_id = p_partkey"""
+
 # Clusters
 
 

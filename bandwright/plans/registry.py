@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bandwright.config import SMALL
+from bandwright.config import SMALL, EngineConfig
 from bandwright.functions import arrays, distances, scales
 from bandwright.functions.arrays import rounded
-from bandwright.operators import catalog, cluster, frames, ingest, pairs, radio, signal, similarity, stats
+from bandwright.operators import catalog, cluster, features, frames, ingest, pairs, radio, signal, similarity, stats
 from bandwright.plans import oracle
-from bandwright.sources import files
+from bandwright.sources import files, standins, tables
 from bandwright.sources.standins import catalog as parts
 from bandwright.sources.standins import day_frames, samples, table, tracks
 from bandwright.streaming import framing
@@ -21,7 +21,11 @@ from bandwright.streaming import radio as radio_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the queries: seeds, search text, list of names, loudness floor, rate at which the stand-in streams count.
-SEEDS, TEXT, NAMES, LOUD, RATE = (3, 5, 8), "bl", ("red widget", "no such title", "blue bolt"), 300.0, 44100
+SEEDS, TEXT, NAMES, LOUD, RATE = (3, 5, 8), "bl", ("red widget", "no such title", "blue bolt"), 150.0, 44100
+#: Text sought in each field.
+SOUGHT = {"all": TEXT, "artist": "#1", "album": "ar", "title": TEXT}
+#: Bands and bins of the stand-in tracks.
+LEGACY_SHAPE = EngineConfig(bands=4, bins=16)
 REGISTERED: dict[str, tuple[Query, str | None]] = {}
 
 
@@ -61,9 +65,7 @@ def strip_prefix(spark, d):
 
 
 for _name, _fields in (("all", catalog.ALL), ("artist", catalog.ARTIST), ("album", catalog.ALBUM), ("title", catalog.TITLE)):
-    register(f"search_{_name}", oracle.search(_name, TEXT if _name != "artist" else "#1"))(
-        lambda spark, d, fields=_fields, text=TEXT if _name != "artist" else "#1": catalog.search(parts(spark, d), text, fields)
-    )
+    register(f"search_{_name}", oracle.search(_name, SOUGHT[_name]))(lambda spark, d, fields=_fields, text=SOUGHT[_name]: catalog.search(parts(spark, d), text, fields))
 
 
 @register("browse_tree", oracle.BROWSE)
@@ -350,8 +352,13 @@ def dwt_inverse(spark, d):
     return _vectors(spark, d).select("track_id", F.posexplode(signal.inverse_level(F.col("v"))).alias("k", "x")).withColumn("x", rounded(F.col("x")))
 
 
-@register("dwt_full", oracle.DWT_ROUND_TRIP)
+@register("dwt_full", oracle.dwt_full(64))
 def dwt_full(spark, d):
+    return signal.wavelet(_vectors(spark, d), "v").select("track_id", F.posexplode("v").alias("k", "x")).withColumn("x", rounded(F.col("x"), 5))
+
+
+@register("dwt_round_trip", oracle.DWT_ROUND_TRIP)
+def dwt_round_trip(spark, d):
     back = signal.wavelet(signal.wavelet(_vectors(spark, d), "v"), "v", inverse=True)
     return back.select("track_id", F.posexplode("v").alias("k", "x")).withColumn("x", rounded(F.col("x"), 5))
 
@@ -372,6 +379,33 @@ def trajectory(spark, d):
     return out.select("track_id", "frame_no", *(rounded(F.col(c)).alias(c) for c in "xyz"))
 
 
+# Files
+
+
+@register("ingest_wav", oracle.INGEST)
+def ingest_wav(spark, d):
+    """Audio files in the shared folder to a track table at production settings, and that table read back."""
+    folder = files.shared_folder(spark, "ingest")
+    standins.wave_files(spark, d, f"{folder}/audio")
+    listed = files.listing(spark, f"{folder}/audio", ["wav"]).select("path")
+    new = features.tracks_of(files.contents(spark, f"{folder}/audio").join(listed, "path", "left_semi"))
+    tables.write_tracks(new.select(files.stem(F.col("fname")).cast("long").alias("track_id"), "length", "frames", "spect_hist"), f"{folder}/db")
+    found = tables.read_tracks(spark, f"{folder}/db")
+    mass = F.aggregate(F.flatten("spect_hist"), F.lit(0.0), lambda a, x: a + x)
+    return found.select("track_id", "length", "frames", F.size("spect_hist").alias("bands"), rounded(mass).alias("mass"))
+
+
+@register("legacy_round_trip", oracle.LEGACY)
+def legacy_round_trip(spark, d):
+    """The track table as files of the legacy format, read back."""
+    folder = files.shared_folder(spark, "legacy")
+    rows = parts(spark, d).drop("exclude").join(tracks(spark, d).drop("exclude"), "track_id")
+    files.write_legacy(rows, folder, LEGACY_SHAPE)
+    back = files.read_legacy(spark, folder, LEGACY_SHAPE)
+    cell = lambda b, k: rounded(F.col("spect_hist")[b][k].cast("double"), 5)
+    return back.select("fname", "title", "artist", "album", "track", "length", cell(0, 0).alias("first_cell"), cell(3, 15).alias("last_cell"), "exclude")
+
+
 # Clusters
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,14 +22,43 @@ CHUNK = 16384
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a new local folder where it is unset."""
+    """spark.checkpoint.dir, or a new local folder where it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder of this run that driver and executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def write_files(rows: DataFrame, folder: str, named: Callable[[pd.DataFrame], Iterator[tuple[str, bytes]]]) -> int:
+    """Writes what named gives for each batch of rows, (name, content), into folder; the number of files. A repeated task writes the same names again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, inside = fs.FileSystem.from_uri(folder)
+        where.create_dir(inside, recursive=True)
+        for b in batches:
+            count = 0
+            for name, content in named(b):
+                with where.open_output_stream(f"{inside}/{name}", compression=None) as out:
+                    out.write(content)
+                count += 1
+            yield pd.DataFrame({"files": [count]})
+
+    return rows.mapInPandas(run, "files long").agg(F.sum("files")).first()[0] or 0
+
+
+def contents(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content) of the files below folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+
+
 def register(extension: str, decode: Callable[[bytes], tuple[int, np.ndarray]]) -> None:
     DECODERS.pop(extension, None)
     DECODERS[extension] = decode
@@ -136,6 +168,17 @@ def legacy_rows(data: bytes, config: EngineConfig = DEFAULT) -> Iterator[tuple]:
         yield (*texts, int(r["numbers"][0]), int(r["numbers"][1]), r["hist"].tolist())
 
 
+def write_legacy(tracks: DataFrame, folder: str, config: EngineConfig = DEFAULT) -> int:
+    """Writes tracks (fname, title, artist, album, track, length, hist) as files of the legacy format, one for each batch of a task; the number of files."""
+
+    def named(b: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
+        if len(b):
+            content = legacy_bytes([(*r[:6], [list(x) for x in r[6]]) for r in b.itertuples(index=False)], config)
+            yield f"{hashlib.sha256(content).hexdigest()}.db", content
+
+    return write_files(tracks.select("fname", "title", "artist", "album", "track", "length", "hist"), folder, named)
+
+
 LEGACY = "fname string, title string, artist string, album string, track int, length int, spect_hist array<array<float>>, exclude boolean"
 
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import wave
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandwright.sources.files import write_files
+
 BANDS, BINS = 4, 16
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -44,3 +52,25 @@ def day_frames(spark: SparkSession, sf_dir: str, loud: float = 0.0) -> DataFrame
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     sums = [F.sum(F.when((F.col("event_type") == t) & (F.col("value") > loud), F.col("value")).otherwise(0.0)) / 1000 for t in EVENT_TYPES]
     return e.groupBy(F.col("user_id").alias("track_id"), day.alias("frame_no")).agg(F.array(*sums).alias("bands"))
+
+
+def tone(key: int, seconds: int = 10, rate: int = 44100) -> bytes:
+    """A wave file of a tone whose pitch depends on the key, with overtones."""
+    t = np.arange(seconds * rate) / rate
+    pitch = 110.0 * 2 ** (key % 36 / 12)
+    x = sum(np.sin(2 * np.pi * pitch * k * t + key) / k for k in range(1, 9))
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate)
+        w.writeframes((x / 3 * 32000).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def wave_files(spark: SparkSession, sf_dir: str, folder: str) -> int:
+    """A wave file for each supplier in folder."""
+
+    def named(b: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
+        for key in b["s_suppkey"]:
+            yield f"{key}.wav", tone(int(key))
+
+    return write_files(table(spark, sf_dir, "supplier").select("s_suppkey").repartition(8), folder, named)

@@ -24,8 +24,17 @@ def advance(session: Session, key: int, events: pd.DataFrame) -> pd.DataFrame:
 
 
 def sessions(events: DataFrame) -> DataFrame:
-    """Batch: the state after every event of each session."""
-    return events.groupBy("session").applyInPandas(lambda key, frame: advance(Session(), int(key[0]), frame), OUT)
+    """Batch: the state after every event of each session. Events come sorted; a task holds one session's state and a batch, however long a session is."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = session = None
+        for frame in frames:
+            for own, part in frame.groupby("session", sort=False):
+                if own != key:
+                    key, session = own, Session()
+                yield advance(session, int(own), part)
+
+    return events.repartition("session").sortWithinPartitions("session", "ts", "event_id").mapInPandas(run, OUT)
 
 
 def session_stream(events: DataFrame) -> DataFrame:
