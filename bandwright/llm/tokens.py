@@ -48,8 +48,11 @@ class WordTokenizer:
         probe = [w.encode() for w in ("the", "Élève", "straße,", "ÖL.", "Mañana!", "a", "Œuvre", "x1", "stop!!", "##$$", "a+=-")]
         whole = [self.whole(w) for w in probe]
         self.direct = True
-        self.direct = self.fresh(probe) == whole
         mixed = b"The  quick\n\nbrown \t fox's 12 jumps,\r\nover \xc3\x89t\xc3\xa9 -- a.b \n x  "
+        capitals = b" ".join(bytes([c, c, c + 32]) for c in range(ord("A"), ord("Z") + 1)) + b" " + mixed
+        #: whether the vocabulary ignores the case of A-Z, so that texts may be lower-cased before words are looked up
+        self.folds = self.whole(capitals) == self.whole(capitals.lower())
+        self.direct = self.folds and self.fresh(probe) == whole
         #: whether a text's ids are its words' ids
         self.by_word = self.whole(mixed) == b"".join(map(self.whole, mixed.split()))
 
@@ -122,7 +125,7 @@ class WordTokenizer:
         pending: list[list[bytes]] = []
         size = 0
         for text in texts:
-            if SPECIAL not in text:  # the vocabulary ignores case but in its special tokens
+            if self.folds and SPECIAL not in text:  # special tokens keep their case
                 text = text.lower()
             pending.append(words := text.split())
             size += len(words)

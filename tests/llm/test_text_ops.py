@@ -46,6 +46,19 @@ def test_vocabularies_that_join_words_take_whole_texts(tmp_path):
     assert tokens.WordTokenizer(PATH).by_word
 
 
+def test_vocabularies_that_tell_case_keep_it(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.BPE({c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, []))
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    t.save(str(tmp_path / "t.json"))
+    found = tokens.WordTokenizer(str(tmp_path / "t.json"))
+    texts = ["Ab aB ab AB", "", "THE the The."]
+    assert found.by_word and not found.folds and not found.direct
+    assert [np.frombuffer(x, "<u4").tolist() for x in found.encode_all(x.encode() for x in texts)] == [t.encode(x).ids for x in texts]
+    assert tokens.WordTokenizer(PATH).folds
+
+
 def test_token_files(spark):
     texts = some_texts()
     rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)]
