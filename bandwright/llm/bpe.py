@@ -4,8 +4,8 @@ Words are split in Spark and each distinct word is encoded once:
 
 1. Documents are dealt into blocks of some million words. A block keeps its distinct words, the most frequent first, and
    each document its words' places among them (variable-length numbers). Both are written to the shared folder once.
-2. The blocks' words (block, place, word) are shuffled by word; a run of equal words is encoded once and its ids go to
-   all its blocks. A word has at most one row a block, so frequent words are aggregated before the shuffle.
+2. The blocks' words go to buckets by hash, one row for each block and bucket. A bucket's distinct words are encoded once
+   and their ids go back to all blocks. A word comes at most once a block, so frequent words are aggregated before the shuffle.
 3. The ids meet the documents of their block again, and are put in the order of the documents' places.
 
 Decoding joins ids with the vocabulary's table (id, piece), whose size is the vocabulary's.
@@ -18,6 +18,7 @@ words (a probe tells) take whole texts for words.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,9 +33,10 @@ from bandwright.llm.common import run_dir, texts_of
 from bandwright.llm.tokens import AT_ONCE, SPECIAL, tokenizer
 
 #: Words after which a block ends with its document.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 4_000_000
 #: Ids decoded at once.
 IDS_AT_ONCE = 1 << 21
+NAMES = ["block", "kept", "codes", "bucket", "words", "sizes", "places"]
 
 
 def to_bytes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,10 +57,12 @@ def from_bytes(data: np.ndarray) -> np.ndarray:
     """Undoes to_bytes()."""
     last = np.flatnonzero(data & 128)
     first = np.concatenate(([0], last[:-1] + 1)).astype(np.int64)[: len(last)]
-    out = np.zeros(len(last), np.int64)
+    out = np.zeros(len(last), np.int32)
     for k in range(5):
-        has = first + k <= last
-        out[has] |= (data[first[has] + k] & 127).astype(np.int64) << 7 * k
+        has = np.flatnonzero(first + k <= last)
+        if not len(has):
+            break
+        out[has] |= (data[first[has] + k] & 127).astype(np.int32) << 7 * k
     return out
 
 
@@ -93,15 +97,15 @@ class Block:
             if w not in places:
                 places[w] = len(places)
         self.rows.append(row)
-        self.codes.append(np.fromiter(map(places.__getitem__, words), np.int64, len(words)))
+        self.codes.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def coded(self) -> tuple[list, pa.LargeBinaryArray, list[bytes]]:
         """Rows, their words' places by frequency, and the words in that order."""
-        joined = np.concatenate(self.codes) if self.codes else np.empty(0, np.int64)
+        joined = np.concatenate(self.codes) if self.codes else np.empty(0, np.int32)
         counts = np.bincount(joined, minlength=len(self.places))
         order = np.argsort(-counts, kind="stable")
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
         data, ends = to_bytes(rank[joined])
         stops = np.cumsum([len(c) for c in self.codes], dtype=np.int64)
@@ -110,92 +114,115 @@ class Block:
 
 
 def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block: int) -> DataFrame:
-    """(block, kept, codes, words), in the shared folder: a row for each document, and one with its words for each block."""
+    """In the shared folder: (block, kept, codes) for each document, and (block, bucket, words, sizes, places) for the words of each block and bucket."""
     source = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"))
+    kept_type = source.schema["kept"].dataType.simpleString()
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept_rows(kept: list) -> Iterator[pa.Array]:
+        """Rows stand as (batch's column, place): slices of neighbours are put together again."""
+        at = 0
+        while at < len(kept):
+            stop = at
+            while stop < len(kept) and kept[stop][0] is kept[at][0]:
+                stop += 1
+            yield kept[at][0].slice(kept[at][1], stop - at)
+            at = stop
+
+    def rows(block: Block, number: int) -> Iterator[pa.RecordBatch]:
+        kept, codes, words = block.coded()
+        column = pa.concat_arrays(kept_rows(kept))
+        none = pa.nulls(len(kept), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(kept), pa.int64()), column, codes.cast(pa.binary()), none.cast(pa.int32()), none, none, none], names=NAMES)
+        own = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(own, kind="stable")
+        edges = np.searchsorted(own[order], np.arange(buckets + 1))
+        parts = [order[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        filled = [k for k, part in enumerate(parts) if len(part)]
+        each = [[words[i] for i in parts[k].tolist()] for k in filled]
+        n = len(filled)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([number] * n, pa.int64()), pa.nulls(n, column.type), pa.nulls(n, pa.binary()), pa.array(filled, pa.int32()), pa.array([b"".join(ws) for ws in each], pa.binary()),
+                pa.array([to_bytes(np.array([len(w) for w in ws]))[0].tobytes() for ws in each], pa.binary()), pa.array([to_bytes(np.diff(parts[k], prepend=0))[0].tobytes() for k in filled], pa.binary()),
+            ],
+            names=NAMES,
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, first, made = tokenizer(path), TaskContext.get().partitionId() << 32, 0
-        block, kinds = Block(), None
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            kept, codes, words = block.coded()
-            n = len(kept)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([first + made] * (n + 1), pa.int64()), pa.concat_arrays([*kept_rows(kept), pa.nulls(1, kinds)]), pa.concat_arrays([codes.cast(pa.binary()), pa.nulls(1, pa.binary())]), pa.array([None] * n + [words], pa.list_(pa.binary()))],
-                names=["block", "kept", "codes", "words"],
-            )
-
-        def kept_rows(kept: list) -> list[pa.Array]:
-            """Rows stand as (batch's column, place): slices of neighbours are put together again."""
-            out, at = [], 0
-            while at < len(kept):
-                stop = at
-                while stop < len(kept) and kept[stop][0] is kept[at][0]:
-                    stop += 1
-                out.append(kept[at][0].slice(kept[at][1], stop - at))
-                at = stop
-            return out
-
+        t, number = tokenizer(path), TaskContext.get().partitionId() << 32
+        block = Block()
         for b in batches:
-            column, kinds = b.column(0), b.column(0).type
+            column = b.column(0)
             for i, raw in enumerate(texts_of(b.column(1))):
                 if t.folds and SPECIAL not in raw:  # special tokens keep their case
                     raw = raw.lower()
                 block.add((column, i), raw.split() if t.by_word else [raw] if raw else [])
                 if block.size >= words_a_block:
-                    yield from rows()
-                    block, made = Block(), made + 1
+                    yield from rows(block, number)
+                    block, number = Block(), number + 1
         if block.rows:
-            yield from rows()
+            yield from rows(block, number)
 
-    kept_type = source.schema["kept"].dataType.simpleString()
     folder = run_dir(docs.sparkSession, "words")
-    source.mapInArrow(run, f"block long, kept {kept_type}, codes binary, words array<binary>").write.option("compression", "zstd").parquet(folder)
+    source.mapInArrow(run, f"block long, kept {kept_type}, codes binary, bucket int, words binary, sizes binary, places binary").write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
+def parted(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    stops = np.cumsum(sizes).tolist()
+    return [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, place, ids) of rows (block, place, word): equal words stand together and are encoded once, ids as little-endian 32-bit numbers."""
+    """(block, places, ids, sizes) of rows (block, bucket, words, sizes, places): a bucket's distinct words are encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, last, known = tokenizer(path), None, b""
+        t, bucket, known = tokenizer(path), None, {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            column = b.column(2).dictionary_encode()
-            distinct = column.dictionary.to_pylist()
-            ids = [known] if distinct[0] == last else []  # the run that the batch before ended in
-            for i in range(len(ids), len(distinct), AT_ONCE):
-                ids += t.fresh(distinct[i : i + AT_ONCE])
-            last, known = distinct[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary()).take(column.indices)], names=["block", "place", "ids"])
-
-    together = words.select("block", "place", "word").repartition("word").sortWithinPartitions("word")
-    return together.mapInArrow(run, "block long, place int, ids binary")
+            ids, sizes = [], []
+            for own, data, lengths in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                found = parted(data, from_bytes(np.frombuffer(lengths, np.uint8)))
+                new = [w for w in found if w not in known]
+                for i in range(0, len(new), AT_ONCE):
+                    known.update(zip(new[i : i + AT_ONCE], t.fresh(new[i : i + AT_ONCE]), strict=True))
+                each = [known[w] for w in found]
+                ids.append(b"".join(each))
+                sizes.append(to_bytes(np.array([len(x) // 4 for x in each]))[0].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())], names=["block", "places", "ids", "sizes"])
+
+    together = words.select("block", "bucket", "words", "sizes", "places").repartition("bucket").sortWithinPartitions("bucket")
+    return together.mapInArrow(run, "block long, places binary, ids binary, sizes binary")
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words_a_block: int = BLOCK_WORDS) -> DataFrame:
     """The columns keep of each row, and ids: its text's token ids as little-endian 32-bit numbers (binary)."""
     written = blocks(docs, path, list(keep), text, words_a_block)
-    words = written.where("words is not null").select("block", F.posexplode("words").alias("place", "word"))
-    rows = written.where("words is null").select("block", "kept", "codes")
+    rows = written.where("bucket is null").select("block", "kept", "codes")
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, ends = flat(right["ids"], "<u4")
-        places = right["place"].to_numpy()
-        start, size = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
-        size[places] = np.diff(ends, prepend=0)
-        start[places] = ends - np.diff(ends, prepend=0)
+        places = [np.cumsum(from_bytes(np.frombuffer(x, np.uint8)), dtype=np.int64) for x in right["places"].to_pylist()]
+        ids = np.frombuffer(b"".join(right["ids"].to_pylist()), "<u4")
+        counts = [from_bytes(np.frombuffer(x, np.uint8)) for x in right["sizes"].to_pylist()]
+        n = sum(map(len, places))
+        size, start = np.zeros(n, np.int32), np.zeros(n, np.int64)
+        if n:
+            where, count = np.concatenate(places), np.concatenate(counts)
+            size[where], start[where] = count, np.cumsum(count, dtype=np.int64) - count
         codes, stops = flat(left["codes"], np.uint8)
-        own = from_bytes(codes)
         ended = np.concatenate(([0], np.cumsum(codes >> 7, dtype=np.int64)))[stops]  # words up to each row's end
+        own = from_bytes(codes)
         sizes = size[own]
-        after = np.cumsum(sizes)
-        at = np.repeat(start[own] - after + sizes, sizes) + np.arange(int(after[-1]) if len(after) else 0)
+        after = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat(start[own] - after + sizes, sizes)
+        at += np.arange(len(at))
         return pa.table({"kept": left["kept"], "ids": strings(ids[at].view(np.uint8), 4 * np.concatenate(([0], after))[ended]).cast(pa.binary())})
 
     kept_type = rows.schema["kept"].dataType.simpleString()
-    met = rows.groupBy("block").cogroup(encoded_words(words, path).groupBy("block")).applyInArrow(join, f"kept {kept_type}, ids binary")
+    found = encoded_words(written.where("bucket is not null"), path)
+    met = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, f"kept {kept_type}, ids binary")
     return met.select("kept.*", "ids")
 
 
