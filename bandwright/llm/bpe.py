@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from bandwright.llm.common import run_dir, texts_of
 from bandwright.llm.tokens import AT_ONCE, SPECIAL, tokenizer
 
-#: Words after which a block ends with its document.
-BLOCK_WORDS = 4_000_000
+#: Words after which a block ends with its document, and words whose places are coded, and joined with ids, at once.
+BLOCK_WORDS, SLICE_WORDS = 4_000_000, 250_000
 #: Ids decoded at once.
 IDS_AT_ONCE = 1 << 21
-NAMES = ["block", "kept", "codes", "bucket", "words", "sizes", "places"]
+NAMES = ["block", "kept", "counts", "codes", "bucket", "words", "sizes", "places"]
 
 
 def to_bytes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,21 +100,46 @@ class Block:
         self.codes.append(np.fromiter(map(places.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
-    def coded(self) -> tuple[list, pa.LargeBinaryArray, list[bytes]]:
-        """Rows, their words' places by frequency, and the words in that order."""
-        joined = np.concatenate(self.codes) if self.codes else np.empty(0, np.int32)
-        counts = np.bincount(joined, minlength=len(self.places))
+    def words(self) -> tuple[np.ndarray, list[bytes]]:
+        """The rank by frequency of each number, and the words in that order."""
+        counts = np.zeros(len(self.places), np.int64)
+        for _, codes in self.slices():
+            counts += np.bincount(np.concatenate(codes), minlength=len(counts))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order))
-        data, ends = to_bytes(rank[joined])
-        stops = np.cumsum([len(c) for c in self.codes], dtype=np.int64)
         words = list(self.places)
-        return self.rows, strings(data, np.concatenate(([0], ends))[stops]), [words[i] for i in order]
+        return rank, [words[i] for i in order.tolist()]
+
+    def slices(self, least: int = SLICE_WORDS) -> Iterator[tuple[list, list[np.ndarray]]]:
+        """Rows and their words' numbers, a few documents at a time."""
+        at = size = 0
+        for stop, c in enumerate(self.codes, 1):
+            size += len(c)
+            if size >= least or stop == len(self.codes):
+                yield self.rows[at:stop], self.codes[at:stop]
+                at, size = stop, 0
+
+
+def squeezed(data: bytes) -> bytes:
+    """Size and compressed bytes."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def restored(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def numbered(numbers: list[int] | np.ndarray) -> bytes:
+    return to_bytes(np.asarray(numbers, np.int64))[0].tobytes()
+
+
+def numbers_of(data: bytes) -> np.ndarray:
+    return from_bytes(np.frombuffer(data, np.uint8))
 
 
 def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block: int) -> DataFrame:
-    """In the shared folder: (block, kept, codes) for each document, and (block, bucket, words, sizes, places) for the words of each block and bucket."""
+    """In the shared folder: (block, kept, counts, codes) for some documents each, and (block, bucket, words, sizes, places) for the words of each block and bucket."""
     source = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"))
     kept_type = source.schema["kept"].dataType.simpleString()
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -130,10 +155,15 @@ def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block
             at = stop
 
     def rows(block: Block, number: int) -> Iterator[pa.RecordBatch]:
-        kept, codes, words = block.coded()
-        column = pa.concat_arrays(kept_rows(kept))
-        none = pa.nulls(len(kept), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([number] * len(kept), pa.int64()), column, codes.cast(pa.binary()), none.cast(pa.int32()), none, none, none], names=NAMES)
+        rank, words = block.words()
+        for kept, codes in block.slices():
+            column = pa.concat_arrays(kept_rows(kept))
+            data = squeezed(numbered(rank[np.concatenate(codes)]))
+            none = pa.nulls(1, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), pa.array([numbered(list(map(len, codes)))], pa.binary()), pa.array([data], pa.binary()), none.cast(pa.int32()), none, none, none],
+                names=NAMES,
+            )
         own = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
         order = np.argsort(own, kind="stable")
         edges = np.searchsorted(own[order], np.arange(buckets + 1))
@@ -141,10 +171,11 @@ def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block
         filled = [k for k, part in enumerate(parts) if len(part)]
         each = [[words[i] for i in parts[k].tolist()] for k in filled]
         n = len(filled)
+        none = pa.nulls(n, pa.binary())
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([number] * n, pa.int64()), pa.nulls(n, column.type), pa.nulls(n, pa.binary()), pa.array(filled, pa.int32()), pa.array([b"".join(ws) for ws in each], pa.binary()),
-                pa.array([to_bytes(np.array([len(w) for w in ws]))[0].tobytes() for ws in each], pa.binary()), pa.array([to_bytes(np.diff(parts[k], prepend=0))[0].tobytes() for k in filled], pa.binary()),
+                pa.array([number] * n, pa.int64()), pa.nulls(n, pa.list_(column.type)), none, none, pa.array(filled, pa.int32()), pa.array([squeezed(b"".join(ws)) for ws in each], pa.binary()),
+                pa.array([squeezed(numbered([len(w) for w in ws])) for ws in each], pa.binary()), pa.array([numbered(np.diff(parts[k], prepend=0)) for k in filled], pa.binary()),
             ],
             names=NAMES,
         )
@@ -165,7 +196,7 @@ def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block
             yield from rows(block, number)
 
     folder = run_dir(docs.sparkSession, "words")
-    source.mapInArrow(run, f"block long, kept {kept_type}, codes binary, bucket int, words binary, sizes binary, places binary").write.option("compression", "zstd").parquet(folder)
+    source.mapInArrow(run, f"block long, kept array<{kept_type}>, counts binary, codes binary, bucket int, words binary, sizes binary, places binary").write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
@@ -180,18 +211,17 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, bucket, known = tokenizer(path), None, {}
         for b in batches:
-            ids, sizes = [], []
-            for own, data, lengths in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+            for k, (own, data, lengths) in enumerate(zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True)):
                 if own != bucket:
                     bucket, known = own, {}
-                found = parted(data, from_bytes(np.frombuffer(lengths, np.uint8)))
+                found = parted(restored(data), numbers_of(restored(lengths)))
                 new = [w for w in found if w not in known]
                 for i in range(0, len(new), AT_ONCE):
                     known.update(zip(new[i : i + AT_ONCE], t.fresh(new[i : i + AT_ONCE]), strict=True))
                 each = [known[w] for w in found]
-                ids.append(b"".join(each))
-                sizes.append(to_bytes(np.array([len(x) // 4 for x in each]))[0].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())], names=["block", "places", "ids", "sizes"])
+                ids = numbered(np.frombuffer(b"".join(each), "<u4"))
+                columns = [b.column(0).slice(k, 1), b.column(4).slice(k, 1), pa.array([squeezed(ids)], pa.binary()), pa.array([numbered([len(x) // 4 for x in each])], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "places", "ids", "sizes"])
 
     together = words.select("block", "bucket", "words", "sizes", "places").repartition("bucket").sortWithinPartitions("bucket")
     return together.mapInArrow(run, "block long, places binary, ids binary, sizes binary")
@@ -200,32 +230,45 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", words_a_block: int = BLOCK_WORDS) -> DataFrame:
     """The columns keep of each row, and ids: its text's token ids as little-endian 32-bit numbers (binary)."""
     written = blocks(docs, path, list(keep), text, words_a_block)
-    rows = written.where("bucket is null").select("block", "kept", "codes")
-
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        places = [np.cumsum(from_bytes(np.frombuffer(x, np.uint8)), dtype=np.int64) for x in right["places"].to_pylist()]
-        ids = np.frombuffer(b"".join(right["ids"].to_pylist()), "<u4")
-        counts = [from_bytes(np.frombuffer(x, np.uint8)) for x in right["sizes"].to_pylist()]
-        n = sum(map(len, places))
-        size, start = np.zeros(n, np.int32), np.zeros(n, np.int64)
-        if n:
-            where, count = np.concatenate(places), np.concatenate(counts)
-            size[where], start[where] = count, np.cumsum(count, dtype=np.int64) - count
-        codes, stops = flat(left["codes"], np.uint8)
-        ended = np.concatenate(([0], np.cumsum(codes >> 7, dtype=np.int64)))[stops]  # words up to each row's end
-        own = from_bytes(codes)
-        sizes = size[own]
-        after = np.cumsum(sizes, dtype=np.int64)
-        at = np.repeat(start[own] - after + sizes, sizes)
-        at += np.arange(len(at))
-        return pa.table({"kept": left["kept"], "ids": strings(ids[at].view(np.uint8), 4 * np.concatenate(([0], after))[ended]).cast(pa.binary())})
-
-    kept_type = rows.schema["kept"].dataType.simpleString()
+    rows = written.where("bucket is null").select("block", "kept", "counts", "codes")
+
+    def join(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, ids, counts = [], [], []
+        for b in right:
+            places += [np.cumsum(numbers_of(x)) for x in b.column("places").to_pylist()]
+            ids += [numbers_of(restored(x)) for x in b.column("ids").to_pylist()]
+            counts += [numbers_of(x) for x in b.column("sizes").to_pylist()]
+        table = np.concatenate([np.empty(0, np.int32), *ids]).astype("<u4")
+        where, count = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (places, counts))
+        size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+        size[where], start[where] = count, np.cumsum(count) - count
+        for b in left:
+            for k in range(b.num_rows):
+                kept = b.column("kept").slice(k, 1).flatten()
+                own = numbers_of(restored(b.column("codes")[k].as_py()))
+                stops = np.cumsum(numbers_of(b.column("counts")[k].as_py()), dtype=np.int64)
+                sizes = size[own]
+                after = np.cumsum(sizes)
+                at = np.repeat(start[own] - after + sizes, sizes)
+                at += np.arange(len(at))
+                out = strings(table[at].view(np.uint8), 4 * np.concatenate(([0], after))[stops])
+                yield pa.RecordBatch.from_arrays([kept, out.cast(pa.binary())], names=["kept", "ids"])
+
+    kept_type = rows.schema["kept"].dataType.elementType.simpleString()
     found = encoded_words(written.where("bucket is not null"), path)
-    met = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(join, f"kept {kept_type}, ids binary")
+    met = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(joined(join), f"kept {kept_type}, ids binary")
     return met.select("kept.*", "ids")
 
 
+def joined(join):
+    """For a pair of tables, which Spark's cogroup hands over, what join gives for their batches."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(join(left.to_batches(), right.to_batches()), pa.schema([("kept", left.schema.field("kept").type.value_type), ("ids", pa.binary())]))
+
+    return run
+
+
 def pieces(path: str) -> list[str]:
     """The vocabulary's piece of each id."""
     t = tokenizer(path).tokenizer
