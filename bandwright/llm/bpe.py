@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm.common import run_dir, texts_of
-from bandwright.llm.tokens import AT_ONCE, SPECIAL, tokenizer
+from bandwright.llm.tokens import AT_ONCE, SPECIAL, tokenizer, vocabulary_size
 
 #: Words after which a block ends with its document, and words whose places are coded, and joined with ids, at once.
 BLOCK_WORDS, SLICE_WORDS = 4_000_000, 250_000
-#: Ids decoded at once.
-IDS_AT_ONCE = 1 << 21
+#: Rows decoded at once.
+ROWS_AT_ONCE = 500
 NAMES = ["block", "kept", "counts", "codes", "bucket", "words", "sizes", "places"]
 
 
@@ -123,7 +123,7 @@ class Block:
 
 def squeezed(data: bytes) -> bytes:
     """Size and compressed bytes."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
 
 
 def restored(data: bytes) -> bytes:
@@ -200,13 +200,20 @@ def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block
     return docs.sparkSession.read.parquet(folder)
 
 
+def width_of(path: str) -> str:
+    return "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
+
+
 def parted(data: bytes, sizes: np.ndarray) -> list[bytes]:
     stops = np.cumsum(sizes).tolist()
     return [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
 
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, places, ids, sizes) of rows (block, bucket, words, sizes, places): a bucket's distinct words are encoded once."""
+    """(block, places, ids, sizes) of rows (block, bucket, words, sizes, places): a bucket's distinct words are encoded once.
+
+    Ids take two bytes where the vocabulary allows it, else four.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, bucket, known = tokenizer(path), None, {}
@@ -219,7 +226,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                 for i in range(0, len(new), AT_ONCE):
                     known.update(zip(new[i : i + AT_ONCE], t.fresh(new[i : i + AT_ONCE]), strict=True))
                 each = [known[w] for w in found]
-                ids = numbered(np.frombuffer(b"".join(each), "<u4"))
+                ids = np.frombuffer(b"".join(each), "<u4").astype(width_of(path)).tobytes()
                 columns = [b.column(0).slice(k, 1), b.column(4).slice(k, 1), pa.array([squeezed(ids)], pa.binary()), pa.array([numbered([len(x) // 4 for x in each])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "places", "ids", "sizes"])
 
@@ -236,9 +243,9 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
         places, ids, counts = [], [], []
         for b in right:
             places += [np.cumsum(numbers_of(x)) for x in b.column("places").to_pylist()]
-            ids += [numbers_of(restored(x)) for x in b.column("ids").to_pylist()]
+            ids += [np.frombuffer(restored(x), width_of(path)) for x in b.column("ids").to_pylist()]
             counts += [numbers_of(x) for x in b.column("sizes").to_pylist()]
-        table = np.concatenate([np.empty(0, np.int32), *ids]).astype("<u4")
+        table = np.concatenate([np.empty(0, "<u2"), *ids]).astype("<u4")
         where, count = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (places, counts))
         size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
         size[where], start[where] = count, np.cumsum(count) - count
@@ -286,23 +293,17 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path).tokenizer
         table = None if t.decoder else pa.array([p + " " for p in pieces(path)], pa.large_string()).cast(pa.large_binary())
-        for b in batches:
+        for b in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             numbers, ends = flat(b.column(1), "<u4")
             begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
             if table is None:
                 texts = [t.decode(numbers[i:j].tolist(), skip_special_tokens=False) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["kept", "ids", "decoded"])
-                continue
-            at = 0
-            while at < len(ends):
-                stop = max(at + 1, int(np.searchsorted(ends, begins[at] + IDS_AT_ONCE, side="right")))
-                taken = pc.take(table, pa.array(numbers[begins[at] : ends[stop - 1]]))
+            else:
+                taken = pc.take(table, pa.array(numbers))
                 sizes = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
                 data = memoryview(taken.buffers()[2] or b"")
-                first, last = sizes[begins[at:stop] - begins[at]].tolist(), sizes[ends[at:stop] - begins[at]].tolist()
-                texts = [bytes(data[i : max(i, j - 1)]) for i, j in zip(first, last, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, stop - at), b.column(1).slice(at, stop - at), pa.array(texts, pa.binary()).cast(pa.string())], names=["kept", "ids", "decoded"])
-                at = stop
+                texts = [bytes(data[i : max(i, j - 1)]) for i, j in zip(sizes[begins].tolist(), sizes[ends].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string() if table is None else pa.binary()).cast(pa.string())], names=["kept", "ids", "decoded"])
 
     kept_type = source.schema["kept"].dataType.simpleString()
     out = source.mapInArrow(run, f"kept {kept_type}, ids binary, decoded string")
