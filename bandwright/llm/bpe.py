@@ -33,7 +33,7 @@ from bandwright.llm.common import run_dir, texts_of
 from bandwright.llm.tokens import AT_ONCE, SPECIAL, tokenizer, vocabulary_size
 
 #: Words after which a block ends with its document, and words whose places are coded, and joined with ids, at once.
-BLOCK_WORDS, SLICE_WORDS = 4_000_000, 250_000
+BLOCK_WORDS, SLICE_WORDS = 4_000_000, 600_000
 #: Rows decoded at once.
 ROWS_AT_ONCE = 500
 NAMES = ["block", "kept", "counts", "codes", "bucket", "words", "sizes", "places"]
@@ -200,8 +200,9 @@ def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block
     return docs.sparkSession.read.parquet(folder)
 
 
-def width_of(path: str) -> str:
-    return "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
+def width_of(path: str) -> int:
+    """Bytes that an id needs."""
+    return max(1, -(-(vocabulary_size(path) - 1).bit_length() // 8))
 
 
 def parted(data: bytes, sizes: np.ndarray) -> list[bytes]:
@@ -212,7 +213,7 @@ def parted(data: bytes, sizes: np.ndarray) -> list[bytes]:
 def encoded_words(words: DataFrame, path: str) -> DataFrame:
     """(block, places, ids, sizes) of rows (block, bucket, words, sizes, places): a bucket's distinct words are encoded once.
 
-    Ids take two bytes where the vocabulary allows it, else four.
+    Ids take the bytes that the vocabulary needs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                 for i in range(0, len(new), AT_ONCE):
                     known.update(zip(new[i : i + AT_ONCE], t.fresh(new[i : i + AT_ONCE]), strict=True))
                 each = [known[w] for w in found]
-                ids = np.frombuffer(b"".join(each), "<u4").astype(width_of(path)).tobytes()
+                ids = np.frombuffer(b"".join(each), "u1").reshape(-1, 4)[:, : width_of(path)].T.tobytes()  # low bytes first, then the next ones
                 columns = [b.column(0).slice(k, 1), b.column(4).slice(k, 1), pa.array([squeezed(ids)], pa.binary()), pa.array([numbered([len(x) // 4 for x in each])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "places", "ids", "sizes"])
 
@@ -240,12 +241,13 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
     rows = written.where("bucket is null").select("block", "kept", "counts", "codes")
 
     def join(left: Iterator[pa.RecordBatch], right: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, ids, counts = [], [], []
+        width, places, ids, counts = width_of(path), [], [], []
         for b in right:
             places += [np.cumsum(numbers_of(x)) for x in b.column("places").to_pylist()]
-            ids += [np.frombuffer(restored(x), width_of(path)) for x in b.column("ids").to_pylist()]
+            ids += [np.frombuffer(restored(x), "u1").reshape(width, -1).T for x in b.column("ids").to_pylist()]
             counts += [numbers_of(x) for x in b.column("sizes").to_pylist()]
-        table = np.concatenate([np.empty(0, "<u2"), *ids]).astype("<u4")
+        found = np.concatenate([np.empty((0, width), "u1"), *ids])
+        table = np.pad(found, ((0, 0), (0, 4 - width))).ravel().view("<u4")
         where, count = (np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64) for x in (places, counts))
         size, start = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
         size[where], start[where] = count, np.cumsum(count) - count
