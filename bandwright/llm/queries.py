@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandwright.llm import bpe, collocation, decontaminate, extract, langid, neardup, packing, quality, substring, tokenfile, urlfilter, warc
+from bandwright.llm import bpe, collocation, decontaminate, extract, langid, neardup, packing, quality, substring, tokenfile, urlfilter, variants, warc
 from bandwright.llm.common import table
 from bandwright.llm.tokens import default_path
 
@@ -77,10 +77,14 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), default_path())
 
 
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_langid, op2_token_file, op3_url_filter, op4_substring, op5_decontaminate, op6_warc, op7_packing, op8_extract, op9_quality, op10_neardup, op11_collocation, op12_bpe)
+    found = (op1_langid, op2_token_file, op3_url_filter, op4_substring, op5_decontaminate, op6_warc, op7_packing, op8_extract, op9_quality, op10_neardup, op11_collocation, op12_bpe, op13_variants)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urlfilter.oracle(), "op6_warc": warc.ORACLE, "op9_quality": quality.oracle(), "op10_neardup": OP10_SQL, "op11_collocation": collocation.ORACLE}
+    return {"op3_url_filter": urlfilter.oracle(), "op6_warc": warc.ORACLE, "op9_quality": quality.oracle(), "op10_neardup": OP10_SQL, "op11_collocation": collocation.ORACLE, "op13_variants": variants.ORACLE}
