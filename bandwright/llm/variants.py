@@ -264,5 +264,5 @@ p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x AS a JOIN x AS b ON a.
 UNION SELECT x.word, v.word, v.n FROM x JOIN v ON v.word = rest UNION SELECT v.word, x.word, x.n FROM x JOIN v ON v.word = rest),
 q AS (SELECT word, count(*) AS n_near, max(near_n) AS most, arg_min(near, (-near_n, near)) AS near FROM p GROUP BY word),
 f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {TIMES} * n THEN near END AS form, CASE WHEN most >= {TIMES} * n THEN most END AS form_n FROM v LEFT JOIN q USING (word)),
-walk AS (SELECT word, word AS at, form FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.form)
-SELECT word, n, n_near, f.form, form_n, at AS root FROM f JOIN walk USING (word) WHERE walk.form IS NULL"""
+walk AS (SELECT word, word AS node, form FROM f UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN f ON f.word = walk.form)
+SELECT word, n, n_near, f.form, form_n, node AS root FROM f JOIN walk USING (word) WHERE walk.form IS NULL"""
