@@ -6,7 +6,8 @@ Words are split in Spark and each distinct word is encoded once:
    each document its words' places among them (variable-length numbers). Both are written to the shared folder once.
 2. The blocks' words go to buckets by hash, one row for each block and bucket. A bucket's distinct words are encoded once
    and their ids go back to all blocks. A word comes at most once a block, so frequent words are aggregated before the shuffle.
-3. The ids meet the documents of their block again, and are put in the order of the documents' places.
+3. The ids go to the files of their blocks, which are bucketed by block and so need no shuffle, and are put in the order of
+   the documents' places.
 
 Decoding joins ids with the vocabulary's table (id, piece), whose size is the vocabulary's.
 
@@ -18,6 +19,7 @@ words (a probe tells) take whole texts for words.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -139,7 +141,7 @@ def numbers_of(data: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block: int) -> DataFrame:
-    """In the shared folder: (block, kept, counts, codes) for some documents each, and (block, bucket, words, sizes, places) for the words of each block and bucket."""
+    """In the shared folder, in files by block: (block, kept, counts, codes) for some documents each, and (block, bucket, words, sizes, places) for the words of each block and bucket."""
     source = docs.select(F.struct(*keep).alias("kept"), F.col(text).cast("string").alias("text"))
     kept_type = source.schema["kept"].dataType.simpleString()
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -195,9 +197,12 @@ def blocks(docs: DataFrame, path: str, keep: list[str], text: str, words_a_block
         if block.rows:
             yield from rows(block, number)
 
-    folder = run_dir(docs.sparkSession, "words")
-    source.mapInArrow(run, f"block long, kept array<{kept_type}>, counts binary, codes binary, bucket int, words binary, sizes binary, places binary").write.option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    spark, name = docs.sparkSession, f"words_{uuid.uuid4().hex}"
+    made = source.mapInArrow(run, f"block long, kept array<{kept_type}>, counts binary, codes binary, bucket int, words binary, sizes binary, places binary")
+    made.write.format("parquet").option("compression", "zstd").option("path", f"{run_dir(spark, 'words')}/rows").bucketBy(buckets, "block").saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the table is external
+    return found
 
 
 def width_of(path: str) -> int:
@@ -227,7 +232,7 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
                 for i in range(0, len(new), AT_ONCE):
                     known.update(zip(new[i : i + AT_ONCE], t.fresh(new[i : i + AT_ONCE]), strict=True))
                 each = [known[w] for w in found]
-                ids = np.frombuffer(b"".join(each), "u1").reshape(-1, 4)[:, : width_of(path)].T.tobytes()  # low bytes first, then the next ones
+                ids = np.frombuffer(b"".join(each), "u1").reshape(-1, 4)[:, : width_of(path)].tobytes()
                 columns = [b.column(0).slice(k, 1), b.column(4).slice(k, 1), pa.array([squeezed(ids)], pa.binary()), pa.array([numbered([len(x) // 4 for x in each])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "places", "ids", "sizes"])
 
@@ -244,7 +249,7 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), text
         width, places, ids, counts = width_of(path), [], [], []
         for b in right:
             places += [np.cumsum(numbers_of(x)) for x in b.column("places").to_pylist()]
-            ids += [np.frombuffer(restored(x), "u1").reshape(width, -1).T for x in b.column("ids").to_pylist()]
+            ids += [np.frombuffer(restored(x), "u1").reshape(-1, width) for x in b.column("ids").to_pylist()]
             counts += [numbers_of(x) for x in b.column("sizes").to_pylist()]
         found = np.concatenate([np.empty((0, width), "u1"), *ids])
         table = np.pad(found, ((0, 0), (0, 4 - width))).ravel().view("<u4")
