@@ -109,6 +109,11 @@ PAIRS = f"WITH {_pairs('hellinger')} SELECT i, j, CAST(i * (i - 1) // 2 + j AS B
 PAIRS_SORTED = f"WITH {_pairs('euclidean')} SELECT * FROM pair ORDER BY dist, i, j"
 MATRIX = f"WITH {_pairs('hellinger')} SELECT * FROM pair UNION ALL SELECT j, i, dist FROM pair UNION ALL SELECT vec_id, vec_id, 0e0 FROM embeddings"
 
+def _all_pairs() -> str:
+    return f"""{_PLAIN}, by_band AS (SELECT a.track_id AS a, b.track_id AS b, a.band, sqrt(greatest(0, 1 - sum(sqrt(a.p * b.p)))) AS d FROM h AS a JOIN h AS b ON a.band = b.band AND a.bin = b.bin GROUP BY ALL),
+dist AS (SELECT a, b, sum(d) AS d FROM by_band GROUP BY ALL)"""
+
+
 # Hop frames and spectra: window 16, step 8
 
 _FRAMED = """pos AS (SELECT user_id AS track_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n, value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -258,11 +263,6 @@ SELECT '/parts/' || p_partkey AS fname, p_name AS title, p_brand AS artist, p_ty
 # Clusters
 
 
-def _all_pairs() -> str:
-    return f"""{_PLAIN}, by_band AS (SELECT a.track_id AS a, b.track_id AS b, a.band, sqrt(greatest(0, 1 - sum(sqrt(a.p * b.p)))) AS d FROM h AS a JOIN h AS b ON a.band = b.band AND a.bin = b.bin GROUP BY ALL),
-dist AS (SELECT a, b, sum(d) AS d FROM by_band GROUP BY ALL)"""
-
-
 def _pick(k: int, chosen: list[str]) -> str:
     seeds = " UNION ALL ".join(f"SELECT track_id FROM {c}" for c in chosen)
     return f"""s{k} AS (SELECT a AS track_id FROM dist WHERE b IN ({seeds}) AND a NOT IN ({seeds}) GROUP BY a HAVING min(d) > 0 ORDER BY round(sum(1 / (d * d)), 9), a LIMIT 1)"""
@@ -283,6 +283,35 @@ def _radio(seeds: str, current: int) -> str:
     return f"WITH {_top('hellinger', seeds, gone, 1)} SELECT track_id, round(distance, 6) AS distance FROM best"
 
 
+_EVENTS = f"{_FEEDBACK}, e AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS k FROM fb)"
+_START = "SELECT DISTINCT session, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS likes, CAST([] AS BIGINT[]) AS recents, CAST([] AS BIGINT[]) AS excluded"
+
+
+def _after(track: str) -> str:
+    """The lists after an event of track, the oldest of more than four dropping out."""
+    place = f"list_position(recents, {track})"
+    gone = f"CASE WHEN list_contains(recents, {track}) THEN list_concat(recents[: {place} - 1], recents[{place} + 1 :]) ELSE recents END"
+    return f"""CASE WHEN kind IN ('like', 'click') THEN list_append(likes, {track})[-4:] ELSE likes END AS likes,
+CASE WHEN kind IN ('like', 'click', 'dislike') THEN {gone} WHEN kind = 'next' AND {track} IS NOT NULL THEN list_append(recents, {track})[-4:] ELSE recents END AS recents,
+CASE WHEN kind IN ('play', 'click', 'next') AND {track} IS NOT NULL AND NOT list_contains(excluded, {track}) THEN list_append(excluded, {track}) ELSE excluded END AS excluded"""
+
+
+RADIO_STATE = f"""WITH RECURSIVE {_EVENTS},
+s AS ({_START} FROM e UNION ALL SELECT s.session, e.k, e.event_id, {_after("track_id")} FROM s JOIN e ON e.session = s.session AND e.k = s.k + 1)
+SELECT session, event_id, coalesce(array_to_string(likes, ','), '') AS likes, coalesce(array_to_string(recents, ','), '') AS recents, CAST(len(excluded) AS BIGINT) AS n_excluded FROM s WHERE k > 0"""
+RADIO_LOOP = f"""WITH RECURSIVE {_EVENTS.replace("e AS (", "e AS MATERIALIZED (")}, {_all_pairs().replace("dist AS (", "dist AS MATERIALIZED (")},
+name AS MATERIALIZED (SELECT p_partkey AS track_id, lower(p_name) AS title, lower(p_brand) AS artist FROM part),
+s AS ({_START}, CAST(NULL AS BIGINT) AS current, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS DOUBLE) AS distance FROM e
+UNION ALL SELECT session, k, event_id, {_after("track")}, CASE WHEN kind IN ('play', 'click', 'next') THEN coalesce(track, current) ELSE current END, step + CASE WHEN kind = 'next' THEN 1 ELSE 0 END, CASE WHEN kind = 'next' THEN track END, dist
+FROM (SELECT x.*, CASE WHEN kind = 'next' THEN found.track ELSE event_track END AS track, found.dist
+  FROM (SELECT s.session, e.k, e.event_id, likes, recents, excluded, current, step, kind, e.track_id AS event_track, CASE WHEN len(likes) + len(recents) > 0 THEN list_concat(likes, recents) WHEN current IS NOT NULL THEN [current] ELSE [] END AS seeds FROM s JOIN e ON e.session = s.session AND e.k = s.k + 1) AS x
+  LEFT JOIN (SELECT session, arg_min(b, (dist, -b)) AS track, min(dist) AS dist FROM (
+    SELECT y.session, b, round(coalesce(1 / sum(CASE WHEN d <> 0 THEN 1 / d END), 0), 8) AS dist
+    FROM (SELECT s.session, excluded, current, CASE WHEN len(likes) + len(recents) > 0 THEN list_concat(likes, recents) ELSE [current] END AS seeds, unnest(CASE WHEN len(likes) + len(recents) > 0 THEN list_concat(likes, recents) ELSE [current] END) AS seed
+      FROM s JOIN e ON e.session = s.session AND e.k = s.k + 1 WHERE kind = 'next') AS y
+    JOIN dist ON a = seed LEFT JOIN name AS own ON own.track_id = current LEFT JOIN name AS other ON other.track_id = b
+    WHERE NOT list_contains(excluded, b) AND NOT list_contains(seeds, b) AND NOT coalesce(own.title = other.title AND own.artist = other.artist, false) GROUP BY y.session, b) GROUP BY session) AS found ON found.session = x.session AND kind = 'next'))
+SELECT session, CAST(step - 1 AS INTEGER) AS step, pick AS track_id, round(distance, 6) AS distance FROM s WHERE pick IS NOT NULL"""
 RADIO_NEXT, RADIO_RETRY = _radio("3, 5, 8", 8), _radio("5", 5)
 RADIO_RECENT = f"""WITH {_FEEDBACK}, last AS (SELECT session, track_id, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS k FROM fb WHERE kind = 'next')
 SELECT session, string_agg(track_id, ',' ORDER BY k DESC) AS tracks FROM last WHERE k <= 4 GROUP BY session"""

@@ -452,11 +452,19 @@ def radio_recent(spark, d):
     return radio.last_pushed(_feedback(spark, d), "next").select("session", F.array_join(F.transform("tracks", lambda x: x.cast("string")), ",").alias("tracks"))
 
 
-@register("radio_state", None)
+@register("radio_state", oracle.RADIO_STATE)
 def radio_state(spark, d):
     return radio_stream.sessions(_feedback(spark, d)).select("session", "event_id", F.concat_ws(",", F.transform("likes", lambda x: x.cast("string"))).alias("likes"), F.concat_ws(",", F.transform("recents", lambda x: x.cast("string"))).alias("recents"), "n_excluded")
 
 
+@register("radio_loop", oracle.RADIO_LOOP)
+def radio_loop(spark, d):
+    """Every session's advances, each giving a track."""
+    advance = F.col("kind") == "next"
+    events = _feedback(spark, d).withColumns({"track_id": F.when(~advance, F.col("track_id")), "kind": F.when(advance, F.lit("advance")).otherwise(F.col("kind"))})
+    return radio.listened(events, tracks(spark, d), parts(spark, d)).withColumn("distance", rounded(F.col("distance")))
+
+
 @register("play_history", oracle.HISTORY)
 def play_history(spark, d):
     plays = _feedback(spark, d).where(F.col("kind").isin("play", "click", "next"))
