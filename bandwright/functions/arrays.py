@@ -39,6 +39,7 @@ def mm_ss(seconds: Column) -> Column:
 
 
 def rgb_bytes(value: Column, inverted: bool = False) -> tuple[Column, Column, Column]:
-    """Red, green and blue of a value in [0, 1] spread over 24 bits, low byte first."""
-    v = F.floor((1 - value if inverted else value) * 0xFFFFFF).cast("long")
-    return v.bitwiseAND(F.lit(255)), F.shiftright(v, 8).bitwiseAND(F.lit(255)), F.shiftright(v, 16).bitwiseAND(F.lit(255))
+    """Red, green and blue of a value in [0, 1] spread over 24 bits, low byte first; inverted takes each from 255."""
+    v = F.floor(value * 0xFFFFFF).cast("long")
+    parts = (F.shiftright(v, 8 * k).bitwiseAND(F.lit(255)) for k in range(3))
+    return tuple(255 - p if inverted else p for p in parts)

@@ -259,6 +259,19 @@ INGEST = "SELECT s_suppkey AS track_id, CAST(10 AS INTEGER) AS length, CAST(ceil
 LEGACY = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings)
 SELECT '/parts/' || p_partkey AS fname, p_name AS title, p_brand AS artist, p_type AS album, CAST(p_size AS INTEGER) AS track, CAST(p_size * 37 AS INTEGER) AS length,
   round(CAST(CAST(e[1] / list_sum(e[1:16]) AS FLOAT) AS DOUBLE), 5) AS first_cell, round(CAST(CAST(e[64] / list_sum(e[49:64]) AS FLOAT) AS DOUBLE), 5) AS last_cell, false AS exclude FROM part JOIN v ON vec_id = p_partkey"""
+#: First samples of the chunks of the stand-ins' tones: 16-bit values of eight overtones at 44.1 kHz, ten seconds.
+AUDIO_SOURCE = """SELECT s_suppkey AS track_id, CAST(c AS INTEGER) AS chunk_no, 44100 AS frate, CAST(least(16384, 441000 - c * 16384) AS INTEGER) AS n,
+  round(trunc(sum(sin(2 * pi() * 110 * pow(2, (s_suppkey % 36) / 12e0) * k * (c * 16384 / 44100e0) + s_suppkey) / k) / 3 * 32000) / 32768, 6) + 0e0 AS first
+FROM supplier, range(27) AS r(c), range(1, 9) AS o(k) GROUP BY s_suppkey, c"""
+
+
+def raster_files(colored: bool, inverted: bool) -> str:
+    """Whole files in hexadecimal digits: header, then a row of five bands for each day."""
+    byte = lambda k: f"{255 if inverted else 0} {'-' if inverted else '+'} ((c >> {8 * k}) & 255)"
+    cell = "printf('%02X%02X%02X', " + ", ".join(f"CAST({byte(k)} AS INTEGER)" for k in range(3)) + ")" if colored else f"printf('%02X', CAST({byte(0)} AS INTEGER))"
+    return f"""WITH {_DAYS}, px AS (SELECT track_id, frame_no, band, CAST(floor(least(greatest(v, 0), 1) * {16777215 if colored else 255}) AS BIGINT) AS c FROM cell)
+SELECT track_id, hex(encode('P{6 if colored else 5}' || chr(10) || '5 ' || CAST(count(*) // 5 AS BIGINT) || chr(10) || '255' || chr(10))) || string_agg({cell}, '' ORDER BY frame_no, band) AS content FROM px GROUP BY track_id"""
+
 
 # Clusters
 

@@ -13,7 +13,7 @@ from bandwright.functions import arrays, distances, scales
 from bandwright.functions.arrays import rounded
 from bandwright.operators import catalog, cluster, features, frames, ingest, pairs, radio, signal, similarity, stats
 from bandwright.plans import oracle
-from bandwright.sources import files, standins, tables
+from bandwright.sources import datasource, files, standins, tables
 from bandwright.sources.standins import catalog as parts
 from bandwright.sources.standins import day_frames, samples, table, tracks
 from bandwright.streaming import framing
@@ -406,6 +406,42 @@ def legacy_round_trip(spark, d):
     return back.select("fname", "title", "artist", "album", "track", "length", cell(0, 0).alias("first_cell"), cell(3, 15).alias("last_cell"), "exclude")
 
 
+@register("track_sink", oracle.LEGACY)
+def track_sink(spark, d):
+    """The same through the sink that commits whole jobs."""
+    datasource.register(spark)
+    folder = files.shared_folder(spark, "tracks")
+    rows = parts(spark, d).drop("exclude").join(tracks(spark, d).drop("exclude"), "track_id")
+    rows.select("fname", "title", "artist", "album", F.col("track").cast("int"), F.col("length").cast("int"), "hist").write.format("bandwright.tracks").options(**datasource.options_of(LEGACY_SHAPE)).mode("overwrite").save(folder)
+    back = files.read_legacy(spark, f"{folder}/*.hdb", LEGACY_SHAPE)
+    cell = lambda b, k: rounded(F.col("spect_hist")[b][k].cast("double"), 5)
+    return back.select("fname", "title", "artist", "album", "track", "length", cell(0, 0).alias("first_cell"), cell(3, 15).alias("last_cell"), "exclude")
+
+
+@register("audio_source", oracle.AUDIO_SOURCE)
+def audio_source(spark, d):
+    """Chunks of wave files through the data source."""
+    datasource.register(spark)
+    folder = files.shared_folder(spark, "audio")
+    standins.wave_files(spark, d, folder)
+    found = spark.read.format("bandwright.audio").option("extensions", "wav").load(folder)
+    return found.select(files.stem(F.col("path")).cast("long").alias("track_id"), "chunk_no", "frate", F.size("samples").alias("n"), rounded(F.col("samples")[0].cast("double")).alias("first"))
+
+
+for _name, _colored, _inverted in (("raster_gray", False, False), ("raster_color_inverted", True, True)):
+
+    @register(_name, oracle.raster_files(_colored, _inverted))
+    def raster_files(spark, d, colored=_colored, inverted=_inverted):
+        """Each track's frames as a picture file, read back."""
+        datasource.register(spark)
+        folder = files.shared_folder(spark, "raster")
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "bands"))), lambda x: x["bands"])  # a picture's rows are one file
+        images = day_frames(spark, d).groupBy("track_id").agg(rows.alias("rows")).select(F.col("track_id").cast("string").alias("name"), "rows")
+        images.write.format("bandwright.raster").options(colored=str(colored).lower(), inverted=str(inverted).lower()).mode("overwrite").save(folder)
+        back = files.contents(spark, folder).where(F.col("path").endswith(".ppm" if colored else ".pgm"))
+        return back.select(files.stem(F.col("path")).cast("long").alias("track_id"), F.hex("content").alias("content"))
+
+
 # Clusters
 
 
