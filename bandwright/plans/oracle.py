@@ -256,6 +256,12 @@ SELECT track_id, k, u, round(sqrt(pow(sum(exp(-0.5e0 * t * t) / sqrt(den) * valu
 
 #: Two seconds more than the least of eight, all frames loud, each of 24 bands summing to 1.
 INGEST = "SELECT s_suppkey AS track_id, CAST(10 AS INTEGER) AS length, CAST(ceil((10 * 44100 - 2048) / 1024e0) AS BIGINT) AS frames, CAST(24 AS INTEGER) AS bands, 24e0 AS mass FROM supplier"
+_TONES = """tone AS (SELECT s_suppkey AS track_id, n AS pos, trunc(sum(sin(2 * pi() * 110 * pow(2, (s_suppkey % 36) / 12e0) * o * (n / 8000e0) + s_suppkey) / o) / 3 * 32000) / 32768 AS value FROM supplier, range(8000) AS r(n), range(1, 9) AS h(o) GROUP BY s_suppkey, n),
+framed AS (SELECT track_id, CAST(f AS INTEGER) AS frame_no, pos - f * 8 AS k, value FROM tone, range(998) AS r(f) WHERE (f = pos // 8 OR f = pos // 8 - 1) AND pos < f * 8 + 16)"""
+#: Tones of a second at 8 kHz through framing, DFT, bands and histogram, cell by cell.
+INGEST_STREAM = f"""WITH {_bands(True, 8000, 4).replace(_FRAMED, _TONES)},
+binned AS (SELECT track_id, CAST(band AS INTEGER) AS band, CAST(floor(least(greatest(value, 0), 1 - 1e0 / 16) * 16) AS INTEGER) AS bin FROM value)
+SELECT track_id, CAST(1 AS INTEGER) AS length, CAST(998 AS BIGINT) AS frames, band, bin, round(count(*) / 998e0, 6) AS p FROM binned GROUP BY track_id, band, bin"""
 LEGACY = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings)
 SELECT '/parts/' || p_partkey AS fname, p_name AS title, p_brand AS artist, p_type AS album, CAST(p_size AS INTEGER) AS track, CAST(p_size * 37 AS INTEGER) AS length,
   round(CAST(CAST(e[1] / list_sum(e[1:16]) AS FLOAT) AS DOUBLE), 5) AS first_cell, round(CAST(CAST(e[64] / list_sum(e[49:64]) AS FLOAT) AS DOUBLE), 5) AS last_cell, false AS exclude FROM part JOIN v ON vec_id = p_partkey"""

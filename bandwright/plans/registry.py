@@ -17,6 +17,7 @@ from bandwright.sources import datasource, files, standins, tables
 from bandwright.sources.standins import catalog as parts
 from bandwright.sources.standins import day_frames, samples, table, tracks
 from bandwright.streaming import framing
+from bandwright.streaming import ingest as continuous
 from bandwright.streaming import radio as radio_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,6 +396,17 @@ def ingest_wav(spark, d):
     return found.select("track_id", "length", "frames", F.size("spect_hist").alias("bands"), rounded(mass).alias("mass"))
 
 
+@register("ingest_stream", oracle.INGEST_STREAM)
+def ingest_stream(spark, d):
+    """Files that come in three lots into a continuous ingest, which is started anew for each; the histogram cells of the table."""
+    folder = files.shared_folder(spark, "follow")
+    for share in range(3):
+        standins.wave_files(spark, d, f"{folder}/audio/{share}", 1, 8000, share, 3)
+        continuous.follow(spark, f"{folder}/audio", f"{folder}/db", SMALL, ["wav"]).awaitTermination()
+    cells = continuous.tracks(spark, f"{folder}/db").select(files.stem(F.col("fname")).cast("long").alias("track_id"), "length", "frames", F.posexplode("spect_hist").alias("band", "h"))
+    return cells.select("track_id", "length", "frames", "band", F.posexplode("h").alias("bin", "p")).where("p > 0").withColumn("p", rounded(F.col("p")))
+
+
 @register("legacy_round_trip", oracle.LEGACY)
 def legacy_round_trip(spark, d):
     """The track table as files of the legacy format, read back."""

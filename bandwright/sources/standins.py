@@ -66,11 +66,11 @@ def tone(key: int, seconds: int = 10, rate: int = 44100) -> bytes:
     return out.getvalue()
 
 
-def wave_files(spark: SparkSession, sf_dir: str, folder: str) -> int:
-    """A wave file for each supplier in folder."""
+def wave_files(spark: SparkSession, sf_dir: str, folder: str, seconds: int = 10, rate: int = 44100, share: int = 0, shares: int = 1) -> int:
+    """A wave file in folder for each supplier whose key leaves share when divided by shares."""
 
     def named(b: pd.DataFrame) -> Iterator[tuple[str, bytes]]:
         for key in b["s_suppkey"]:
-            yield f"{key}.wav", tone(int(key))
+            yield f"{key}.wav", tone(int(key), seconds, rate)
 
-    return write_files(table(spark, sf_dir, "supplier").select("s_suppkey").repartition(8), folder, named)
+    return write_files(table(spark, sf_dir, "supplier").select("s_suppkey").where(F.col("s_suppkey") % shares == share).repartition(8), folder, named)
