@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,9 @@ NOTE_BASE, LOWEST_C = 130.812, 16.352
 #: Relative size at which a Gabor kernel is cut off, and the octave that its scales start from.
 GABOR_ERROR, FIRST_OCTAVE = 1e-4, 2
 
+#: Samples of a Gabor block at least.
+LEAST_BLOCK = 1 << 14
+
 # The four Daubechies coefficients.
 _R3, _N = math.sqrt(3), 4 * math.sqrt(2)
 D4 = ((1 + _R3) / _N, (3 + _R3) / _N, (3 - _R3) / _N, (1 - _R3) / _N)
@@ -105,26 +109,28 @@ def notes(rows: DataFrame, column: str, bins: int, window: int, rate: int) -> Da
     return each.where("note is not null").groupBy("track_id", "note").agg(F.max((F.col("v") > 0).cast("int")).alias("active"))
 
 
-def normalised(series: DataFrame, compat: bool = False) -> DataFrame:
-    """Adds x to (track_id, band, i, value): (value - least) / largest less the mean; with compat less the sum, as originally computed."""
-    w = W.partitionBy("track_id", "band")
-    unit = (F.col("value") - F.min("value").over(w)) / F.nullif(F.greatest(F.lit(0.0), F.max("value").over(w)), F.lit(0.0))
-    rows = series.withColumn("unit", F.coalesce(unit, F.lit(0.0)))
-    less = F.sum("unit").over(w) if compat else F.avg("unit").over(w)
-    return rows.withColumn("x", F.col("unit") - less).withColumn("n", F.count("*").over(w))
-
-
 def tempo_spectrum(series: DataFrame, per_minute: float, compat: bool = False) -> DataFrame:
     """(track_id, f, bpm, power): over bands, sqrt(sum of the bands' spectral power / n); 0 at f = 0 and below MIN_BPM.
 
-    series: (track_id, band, i, value), of equal length in all bands of a track. Power is re^2 + im^2; with compat (re im)^2.
+    series: (track_id, band, i, value), of equal length in all bands of a track. A band's series is one row and takes one
+    FFT of its own length. It stands as (value - least) / largest less the mean, with compat less the sum, as originally
+    computed. Power is re^2 + im^2; with compat (re im)^2.
     """
-    rows = normalised(series, compat).withColumn("f", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / 2))))
-    angle = -2 * math.pi * F.col("f") * F.col("i") / F.col("n")
-    sums = rows.groupBy("track_id", "band", "f", "n").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    power = F.pow(F.col("re") * F.col("im"), 2) if compat else F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    rows = series.groupBy("track_id", "band").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("s")).select("track_id", F.transform("s", lambda x: x["value"]).alias("v"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            powers = []
+            for v in f["v"]:
+                most = max(0.0, v.max())
+                unit = (v - v.min()) / most if most else np.zeros(len(v))
+                spectrum = np.fft.rfft(unit - (unit.sum() if compat else unit.mean()))
+                powers.append((spectrum.real * spectrum.imag) ** 2 if compat else spectrum.real**2 + spectrum.imag**2)
+            yield pd.DataFrame({"track_id": f["track_id"], "n": f["v"].map(len), "power": powers})
+
+    found = rows.mapInPandas(run, "track_id long, n long, power array<double>").select("track_id", "n", F.posexplode("power").alias("f", "p"))
+    out = found.groupBy("track_id", "f", "n").agg(F.sum("p").alias("p")).withColumn("f", F.col("f").cast("long"))
     bpm = F.col("f") * per_minute / F.col("n")
-    out = sums.groupBy("track_id", "f", "n").agg(F.sum(power).alias("p"))
     return out.select("track_id", "f", bpm.alias("bpm"), F.when((F.col("f") == 0) | (bpm < MIN_BPM), 0.0).otherwise(F.sqrt(F.col("p") / F.col("n"))).alias("power"))
 
 
@@ -132,27 +138,46 @@ def gabor_octaves(rate: int, highest: float = 8500.0) -> int:
     return max(0, int(math.log2(min(rate / 2, highest) / LOWEST_C)))
 
 
+def gabor_kernel(k: int, rate: int) -> tuple[np.ndarray, int]:
+    """The values that samples u + first, u + first + 1, .. are weighed with at semitone k, and first."""
+    den = 2 ** (-k / 12)
+    reach = math.sqrt(2 * math.log(1 / GABOR_ERROR)) * den * rate
+    first, stop = -math.ceil(reach), math.floor(reach)
+    t = np.arange(first, stop) / rate / den
+    return np.exp(-0.5 * t * t + 2j * np.pi * LOWEST_C * t) / math.sqrt(den), first
+
+
 def gabor(stream: DataFrame, rate: int, step: int) -> DataFrame:
     """(track_id, k, u, power): magnitude of the Gabor transform at semitone k and sample u = 0, step, 2 step, ..
 
-    stream: (track_id, pos, n, value). A sample reaches the kernels whose support covers it: a range of u for each k, by
-    arithmetic on its place, not a comparison with all.
+    stream: (track_id, pos, n, value). Streams are cut into blocks, each with as many samples of its neighbours as the widest
+    kernel reaches; a block takes one FFT, and a product and an inverse FFT for each semitone, whatever the kernel's width.
     """
-    margin = math.sqrt(2 * math.log(1 / GABOR_ERROR))
-    scales = [(k, 2 ** (-k / 12), margin * 2 ** (-k / 12) * rate) for k in range(12 * FIRST_OCTAVE, 12 * gabor_octaves(rate))]
-    if not scales:
+    notes = range(12 * FIRST_OCTAVE, 12 * gabor_octaves(rate))
+    if not notes:
         raise ValueError("the rate is too low for any octave")
-    each = stream.withColumn("s", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(d).alias("den"), F.lit(e).alias("reach")) for k, d, e in scales))))
-    first = F.greatest(F.lit(0), F.ceil((F.col("pos") - F.col("s.reach")) / step) - 1)
-    last = F.least(F.floor((F.col("n") - 1) / step), F.floor((F.col("pos") + F.col("s.reach")) / step) + 1)
-    each = each.where(first <= last).withColumn("hop", F.explode(F.sequence(first, last))).withColumn("u", F.col("hop") * step)
-    start, stop = F.greatest(F.lit(0), F.floor(F.col("u") - F.col("s.reach"))), F.floor(F.col("u") + F.col("s.reach"))
-    each = each.where((F.col("pos") >= start) & (F.col("pos") < stop))
-    t = (F.col("pos") - F.col("u")) / rate / F.col("s.den")
-    size = F.exp(-0.5 * t * t) / F.sqrt("s.den") * F.col("value")
-    turn = 2 * math.pi * LOWEST_C * t
-    sums = each.groupBy("track_id", F.col("s.k").alias("k"), "u").agg(F.sum(size * F.cos(turn)).alias("re"), F.sum(size * F.sin(turn)).alias("im"))
-    return sums.select("track_id", "k", "u", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    halo = len(gabor_kernel(notes[0], rate)[0])
+    block = step * -(-max(LEAST_BLOCK, 4 * halo) // step)
+    last = F.floor((F.col("n") - 1) / block)
+    reached = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - halo) / block)), F.least(last, F.floor((F.col("pos") + halo) / block)))
+    each = stream.withColumn("block", F.explode(reached)).groupBy("track_id", "block", "n").agg(F.min("pos").alias("first"), F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("s"))
+    each = each.select("track_id", "block", "n", "first", F.transform("s", lambda x: x["value"]).alias("v"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernels = [gabor_kernel(k, rate) for k in notes]
+        spectra: dict[int, list[np.ndarray]] = {}
+        for f in frames:
+            for r in f.itertuples(index=False):
+                size = 1 << (len(r.v) + halo).bit_length()
+                if size not in spectra:
+                    spectra = {size: [np.fft.fft(h[::-1], size) for h, _ in kernels]}
+                x = np.fft.fft(r.v, size)
+                u = np.arange(r.block * block, min((r.block + 1) * block, r.n), step)
+                for k, (h, first), own in zip(notes, kernels, spectra[size], strict=True):
+                    place = u - r.first + first + len(h) - 1  # where the reversed kernel's sum for u stands
+                    yield pd.DataFrame({"track_id": r.track_id, "k": k, "u": u, "power": np.abs(np.fft.ifft(x * own)[place])})
+
+    return each.mapInPandas(run, "track_id long, k int, u long, power double")
 
 
 def trajectory(frames: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,6 +13,8 @@ from pyspark.sql import Window as W
 from bandwright.functions.arrays import bin_of, total
 
 RANGES, RANGE_WIDTH = 14, 0.25
+#: Frames of a block of the self-similarity.
+BLOCK_ROWS = 512
 
 
 def band_stats(frames: DataFrame) -> DataFrame:
@@ -37,6 +43,39 @@ def row_means(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("track_id", "i").agg(F.avg("dist").alias("mean"))
 
 
+def self_means(frames: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(track_id, i, mean): row_means() of self_similarity() without its n x n rows.
+
+    A track's frames stand in blocks of some hundred; every two blocks meet once, by an equi-join on the pair, and give their
+    frames' sums of distances both ways. So a long track is spread over tasks.
+    """
+    w = W.partitionBy("track_id")
+    placed = frames.select("track_id", F.col("frame_no").alias("i"), "bands", F.floor((F.row_number().over(w.orderBy("frame_no")) - 1) / rows).alias("own"), F.count("*").over(w).alias("n"))
+    blocks = placed.groupBy("track_id", "own", "n").agg(F.array_sort(F.collect_list(F.struct("i", "bands"))).alias("s"))
+    blocks = blocks.select("track_id", "own", "n", F.transform("s", lambda x: x["i"]).alias("i"), F.flatten(F.transform("s", lambda x: x["bands"])).alias("cells"))
+    last = F.floor((F.col("n") - 1) / rows)
+    left = blocks.select("track_id", "n", F.col("i").alias("i_a"), F.col("cells").alias("a"), F.col("own").alias("bi"), F.explode(F.sequence(F.col("own"), last)).alias("bj"))
+    right = blocks.select("track_id", F.col("i").alias("i_b"), F.col("cells").alias("b"), F.col("own").alias("bj"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("bi"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out = []
+            for r in f.itertuples(index=False):
+                a, b = r.a.reshape(len(r.i_a), -1), r.b.reshape(len(r.i_b), -1)
+                squares = np.zeros((len(a), len(b)))
+                for k in range(a.shape[1]):
+                    squares += (a[:, k, None] - b[:, k]) ** 2
+                d = np.sqrt(squares)
+                out.append((r.track_id, r.n, r.i_a, d.sum(axis=1)))
+                if r.bi != r.bj:
+                    out.append((r.track_id, r.n, r.i_b, d.sum(axis=0)))
+            yield pd.DataFrame(out, columns=["track_id", "n", "i", "sum"])
+
+    sums = left.join(right, ["track_id", "bi", "bj"]).mapInPandas(run, "track_id long, n long, i array<int>, sum array<double>")
+    each = sums.select("track_id", "n", F.explode(F.arrays_zip("i", "sum")).alias("x")).select("track_id", "n", "x.i", "x.sum")
+    return each.groupBy("track_id", "i").agg((F.sum("sum") / F.first("n")).alias("mean"))
+
+
 def smoothed(means: DataFrame, share: int = 100, width: int | None = None) -> DataFrame:
     """(track_id, i, smooth): forward moving average over max(1, n / share) rows, or width rows, cut at the end."""
     w = W.partitionBy("track_id").orderBy("i")

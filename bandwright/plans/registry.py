@@ -249,7 +249,7 @@ def band_stats(spark, d):
 
 
 def _means(spark, d):
-    return stats.row_means(stats.self_similarity(day_frames(spark, d)))
+    return stats.self_means(day_frames(spark, d))
 
 
 @register("selfsim", oracle.SELFSIM)
