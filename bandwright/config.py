@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
-    """Bands of a frame, bins and range of a histogram, and hop framing of a sample stream."""
+    """Bands of a frame, bins and range of a histogram, and hop framing of a sample stream. bands=0 is a band for each bin of a window's spectrum."""
 
     bands: int = 24
     bins: int = 128
@@ -20,6 +20,8 @@ class EngineConfig:
     scale: str = "mel"
 
     def __post_init__(self) -> None:
+        if self.bands == 0:
+            object.__setattr__(self, "bands", self.window // 2 + 1)
         if not 0 < self.step <= self.window:
             raise ValueError("step must be positive and no larger than window")
         if not 1 <= self.bands <= 20000 or self.bins < 1 or not self.low < self.high:

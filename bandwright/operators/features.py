@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame
 from bandwright.config import DEFAULT, EngineConfig
 from bandwright.functions.scales import band_edges, band_of_bin, loudness_weights
 from bandwright.operators.frames import GAIN
+from bandwright.operators.signal import first_note_bin, note_of_bin
 from bandwright.sources.files import DECODERS
 
 
+#: Frames of the harmonic pipeline: a band for each bin.
+HARMONIC = EngineConfig(bands=0, window=4096, step=2048)
+
+
 @lru_cache(maxsize=16)
 def tables(config: EngineConfig, rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window, where each band's bins start, and loudness weights; kept by the worker."""
@@ -67,3 +72,46 @@ def tracks_of(files: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
             yield pd.DataFrame(out, columns=["fname", "length", "frames", "spect_hist", "error"]).astype({"length": "Int32", "frames": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, "fname string, length int, frames long, spect_hist array<array<double>>, error string")
+
+
+def activations(values: np.ndarray, window: int, rate: int, harmonics: int) -> tuple[int, np.ndarray]:
+    """(first note, frames x notes of 0 and 1) of frames x bins: products of each bin with its multiples, set where at least 3/4 of the frame's largest, by semitone."""
+    bins = values.shape[1]
+    products = values.copy()
+    for k in range(2, harmonics + 1):
+        reached = -(-bins // k)
+        products[:, :reached] *= values[:, ::k]
+        products[:, reached:] = 0  # past the end
+    top = products >= 0.75 * np.maximum(0, products.max(axis=1, keepdims=True))
+    first = first_note_bin(window, rate)
+    notes = np.array([note_of_bin(i, window, rate) for i in range(first, bins)])
+    out = np.zeros((len(values), notes[-1] - notes[0] + 1), np.int32)
+    for i, note in enumerate(notes - notes[0], first):
+        out[:, note] |= top[:, i]
+    return int(notes[0]), out
+
+
+def note_frames(files: DataFrame, config: EngineConfig = HARMONIC, harmonics: int = 3) -> DataFrame:
+    """(fname, frame_no, first_note, active, error) of files (path, content): for each hop frame the notes from first_note on, 1 where active.
+
+    Some hundred frames are in memory at a time. A file that cannot be read has one row with an error; one shorter than a
+    window has none.
+    """
+    decoders = dict(DECODERS)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["fname", "frame_no", "first_note", "active", "error"]
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                try:
+                    rate, samples = decoders[path.rpartition(".")[2].lower()](content)
+                    at = 0
+                    for values in band_frames(samples, rate, config):
+                        if len(values):
+                            first, active = activations(values, config.window, rate, harmonics)
+                            yield pd.DataFrame({"fname": path, "frame_no": range(at, at + len(values)), "first_note": first, "active": list(active), "error": None})
+                            at += len(values)
+                except Exception as e:  # noqa: BLE001  one bad file must not end the job
+                    yield pd.DataFrame([(path, None, None, None, f"{type(e).__name__}: {e}")], columns=columns).astype({"frame_no": "Int32", "first_note": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "fname string, frame_no int, first_note int, active array<int>, error string")

@@ -262,6 +262,12 @@ framed AS (SELECT track_id, CAST(f AS INTEGER) AS frame_no, pos - f * 8 AS k, va
 INGEST_STREAM = f"""WITH {_bands(True, 8000, 4).replace(_FRAMED, _TONES)},
 binned AS (SELECT track_id, CAST(band AS INTEGER) AS band, CAST(floor(least(greatest(value, 0), 1 - 1e0 / 16) * 16) AS INTEGER) AS bin FROM value)
 SELECT track_id, CAST(1 AS INTEGER) AS length, CAST(998 AS BIGINT) AS frames, band, bin, round(count(*) / 998e0, 6) AS p FROM binned GROUP BY track_id, band, bin"""
+#: The same tones, nine bands of a window of 16, products with the double and the triple band, notes of the bands over 3/4 of the largest.
+NOTE_FRAMES = f"""WITH {_bands(True, 8000, 9).replace(_FRAMED, _TONES)},
+product AS (SELECT a.track_id, a.frame_no, a.band, a.value * coalesce(b.value, 0) * coalesce(c.value, 0) AS p FROM value AS a
+  LEFT JOIN value AS b ON b.track_id = a.track_id AND b.frame_no = a.frame_no AND b.band = 2 * a.band LEFT JOIN value AS c ON c.track_id = a.track_id AND c.frame_no = a.frame_no AND c.band = 3 * a.band),
+top AS (SELECT track_id, frame_no, band, p >= 0.75e0 * max(p) OVER (PARTITION BY track_id, frame_no) AS b FROM product)
+SELECT track_id, frame_no, CAST(floor(12 / ln(2) * (ln(band) + ln(8000 / (16 * 130.812e0)))) AS INTEGER) AS note FROM top WHERE band >= 1 AND b GROUP BY ALL"""
 LEGACY = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings)
 SELECT '/parts/' || p_partkey AS fname, p_name AS title, p_brand AS artist, p_type AS album, CAST(p_size AS INTEGER) AS track, CAST(p_size * 37 AS INTEGER) AS length,
   round(CAST(CAST(e[1] / list_sum(e[1:16]) AS FLOAT) AS DOUBLE), 5) AS first_cell, round(CAST(CAST(e[64] / list_sum(e[49:64]) AS FLOAT) AS DOUBLE), 5) AS last_cell, false AS exclude FROM part JOIN v ON vec_id = p_partkey"""

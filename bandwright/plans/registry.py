@@ -407,6 +407,26 @@ def ingest_stream(spark, d):
     return cells.select("track_id", "length", "frames", "band", F.posexplode("h").alias("bin", "p")).where("p > 0").withColumn("p", rounded(F.col("p")))
 
 
+def _notes(spark, d, seconds, rate, config):
+    folder = files.shared_folder(spark, "notes")
+    standins.wave_files(spark, d, folder, seconds, rate)
+    found = features.note_frames(files.contents(spark, folder), config)
+    each = found.select(files.stem(F.col("fname")).cast("long").alias("track_id"), "frame_no", "first_note", F.posexplode("active").alias("k", "on"))
+    return each.where("on = 1").select("track_id", "frame_no", (F.col("first_note") + F.col("k")).alias("note"))
+
+
+@register("harmonic_notes", oracle.NOTE_FRAMES)
+def harmonic_notes(spark, d):
+    """Active notes of each frame of audio files, in small windows."""
+    return _notes(spark, d, 1, 8000, EngineConfig(bands=0, window=16, step=8))
+
+
+@register("harmonic_notes_4096", None)
+def harmonic_notes_4096(spark, d):
+    """The same at production settings: windows of 4096 at 44.1 kHz, a band for each bin."""
+    return _notes(spark, d, 10, 44100, features.HARMONIC)
+
+
 @register("legacy_round_trip", oracle.LEGACY)
 def legacy_round_trip(spark, d):
     """The track table as files of the legacy format, read back."""

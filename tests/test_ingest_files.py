@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from bandwright.config import EngineConfig
-from bandwright.operators import features, frames
+from bandwright.operators import features, frames, signal
 from bandwright.sources import tables
 
 CONFIG = EngineConfig(bands=4, bins=8, window=64, step=32, min_frames=3)
@@ -41,3 +41,22 @@ def test_table_keeps_its_configuration(spark, tmp_path):
     assert len(back) == 2 and not any(r["exclude"] for r in back)
     with pytest.raises(ValueError):
         tables.read_tracks(spark, str(tmp_path / "db"))
+
+
+def test_notes_of_a_tone(spark, tmp_path):
+    x = (sum(np.sin(2 * np.pi * 440 * k * np.arange(8000) / 8000) / k for k in (1, 2, 3)) * 10000).astype("<i2")
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000)
+        w.writeframes(x.tobytes())
+    (tmp_path / "bad.wav").write_bytes(b"nothing")
+    sine(tmp_path / "short.wav", 0.01)
+    config = EngineConfig(bands=0, window=512, step=256)
+    assert config.bands == 257
+    rows = features.note_frames(spark.read.format("binaryFile").load(str(tmp_path)), config).collect()
+    good = [r for r in rows if r["error"] is None]
+    assert [r["frame_no"] for r in good] == list(range(30)) and {r["fname"].rpartition("/")[2] for r in rows} == {"a.wav", "bad.wav"}
+    values = np.concatenate(list(features.band_frames(x / 32768, 8000, config)))
+    for r, v in zip(good, values, strict=True):
+        products = [v[i] * (v[2 * i] if 2 * i < 257 else 0) * (v[3 * i] if 3 * i < 257 else 0) for i in range(257)]
+        expected = {signal.note_of_bin(i, 512, 8000) for i in range(signal.first_note_bin(512, 8000), 257) if products[i] >= 0.75 * max(products)}
+        assert {r["first_note"] + k for k, on in enumerate(r["active"]) if on} == expected
