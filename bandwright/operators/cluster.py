@@ -58,14 +58,16 @@ def assign(points: DataFrame, centres: DataFrame, strategy: Strategy = HELLINGER
 def spread_seeds(points: DataFrame, k: int, strategy: Strategy = HELLINGER, first: int | None = None) -> DataFrame:
     """(cluster_id, track_id, hist): the first point (least id if not given), then each time the point with the least sum of 1 / d^2 over the chosen.
 
-    Points that coincide with a chosen one are never picked; ties go to the lower id. k rounds of one scan each.
+    Points that coincide with a chosen one are never picked; ties go to the lower id. Each point carries its sum, to which a
+    round adds the distance to the newest seed alone; the sums lie in the checkpoint folder between rounds.
     """
     chosen = [points.agg(F.min("track_id")).first()[0] if first is None else first]
+    carried = points.select("track_id", "hist", F.lit(0.0).alias("s"))
     for _ in range(1, k):
-        seeds = F.broadcast(points.where(F.col("track_id").isin(chosen)).select(F.col("hist").alias("seed")))
+        newest = F.broadcast(points.where(F.col("track_id") == chosen[-1]).select(F.col("hist").alias("seed")).limit(1))
         d = strategy.distance(F.col("hist"), F.col("seed"))
-        near = points.where(~F.col("track_id").isin(chosen)).join(seeds).groupBy("track_id").agg(F.sum(1 / (d * d)).alias("s"), F.min(d).alias("least"))
-        best = near.where("least > 0").orderBy(rounded(F.col("s"), 9), "track_id").select("track_id").first()
+        carried = shared(carried.join(newest).withColumn("d", d).where("d > 0").select("track_id", "hist", (F.col("s") + 1 / (F.col("d") * F.col("d"))).alias("s")))
+        best = carried.orderBy(rounded(F.col("s"), 9), "track_id").select("track_id").first()
         if best is None:
             raise ValueError("fewer distinct points than clusters")
         chosen.append(best[0])

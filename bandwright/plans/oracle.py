@@ -298,6 +298,26 @@ SELECT 0 AS cluster_id, track_id FROM s0 UNION ALL SELECT 1, track_id FROM s1 UN
 KMEANS_STEP = f"""WITH {_to_seeds("hellinger", "0, 1, 2, 3")}, own AS (SELECT track_id, arg_min(seed_id, (round(dist, 9), seed_id)) AS cluster_id FROM dist GROUP BY track_id)
 SELECT cluster_id, CAST(band AS INTEGER) AS band, CAST(bin AS INTEGER) AS bin, round(pow(avg(sqrt(p)), 2), 6) AS p FROM h JOIN own USING (track_id) GROUP BY ALL"""
 
+_SEEDED = KMEANS_SEED.partition("\nSELECT 0 AS cluster_id")[0]
+
+
+def kmeans_rounds(rounds: int) -> str:
+    """Assignment to the seeds, then a centroid and an assignment each round. An empty cluster would keep its centre; here none becomes empty."""
+    parts = [_SEEDED.rstrip() + ", c0 AS (SELECT cluster_id, band, bin, p FROM h JOIN (SELECT 0 AS cluster_id, track_id FROM s0 UNION ALL SELECT 1, track_id FROM s1 UNION ALL SELECT 2, track_id FROM s2 UNION ALL SELECT 3, track_id FROM s3) USING (track_id))"]
+    for r in range(rounds + 1):
+        parts.append(f"""d{r} AS (SELECT track_id, cluster_id, sum(d) AS d FROM (SELECT h.track_id, c.cluster_id, h.band, sqrt(greatest(0, 1 - sum(sqrt(h.p * c.p)))) AS d FROM h JOIN c{r} AS c ON h.band = c.band AND h.bin = c.bin GROUP BY ALL) GROUP BY ALL),
+a{r} AS (SELECT track_id, arg_min(cluster_id, (round(d, 9), cluster_id)) AS cluster_id FROM d{r} GROUP BY track_id),
+c{r + 1} AS (SELECT cluster_id, band, bin, pow(avg(sqrt(p)), 2) AS p FROM h JOIN a{r} USING (track_id) GROUP BY ALL)""")
+    return ",\n".join(parts) + f" SELECT track_id, cluster_id FROM a{rounds}"
+
+
+# Texts
+
+SIMILAR_REPORT = f"WITH {_top('hellinger', '3, 5, 8', 'track_id NOT IN (3, 5, 8)', 10)} SELECT rank, printf('%f', distance) || chr(9) || rpad(p_name, CAST(greatest(40, length(p_name)) AS INTEGER), ' ') || rpad(p_brand, CAST(greatest(30, length(p_brand)) AS INTEGER), ' ') || rpad(p_type, CAST(greatest(30, length(p_type)) AS INTEGER), ' ') AS line FROM (SELECT row_number() OVER (ORDER BY distance) AS rank, track_id, distance FROM best) JOIN part ON p_partkey = track_id"
+MATRIX_PRINT = f"WITH {_pairs('hellinger').replace('round(sum(d), 6) + 0e0', 'sum(d)')} SELECT i, string_agg(printf('%.2f', dist), ' ' ORDER BY j) AS line FROM pair GROUP BY i"
+SPECTRUM_TEXT = f"WITH {_DAYS} SELECT track_id, frame_no, string_agg(CAST(CAST(round(CAST(v AS DECIMAL(18, 8)), 4) AS DECIMAL(18, 4)) AS VARCHAR), ' ' ORDER BY band) AS line FROM cell GROUP BY ALL"
+STATS_REPORT = f"SELECT band, printf('%.4f', low) || ' ' || printf('%.4f', high) || ' ' || " + " || ' ' || ".join(f"printf('%.2f', pct_{r})" for r in range(14)) + f" AS line FROM ({BAND_STATS})"
+
 # Radio and streams
 
 _FEEDBACK = """fb AS (SELECT user_id AS session, ts, event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'play' WHEN 'purchase' THEN 'like' WHEN 'error' THEN 'dislike' ELSE 'next' END AS kind, CAST(floor(value) AS BIGINT) AS track_id FROM events)"""

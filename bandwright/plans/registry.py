@@ -157,7 +157,7 @@ for _name in distances.REGISTRY:
     )
 
 
-@register("similar_report", None)
+@register("similar_report", oracle.SIMILAR_REPORT)
 def similar_report(spark, d):
     return similarity.report(similarity.similar(tracks(spark, d), list(SEEDS), 10), parts(spark, d))
 
@@ -302,12 +302,12 @@ def raster(spark, d):
     return _cells(spark, d).select("track_id", "frame_no", "band", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-@register("matrix_print", None)
+@register("matrix_print", oracle.MATRIX_PRINT)
 def matrix_print(spark, d):
     return pairs.printed(pairs.triangle(tracks(spark, d)))
 
 
-@register("stats_report", None)
+@register("stats_report", oracle.STATS_REPORT)
 def stats_report(spark, d):
     return stats.stats_report(stats.band_stats(day_frames(spark, d)))
 
@@ -369,7 +369,7 @@ def gabor_cwt(spark, d):
     return signal.gabor(frames.positions(samples(spark, d)), 400, 16).withColumn("power", rounded(F.col("power"), 4))
 
 
-@register("spectrum_text", None)
+@register("spectrum_text", oracle.SPECTRUM_TEXT)
 def spectrum_text(spark, d):
     return signal.spectrum_text(day_frames(spark, d))
 
@@ -495,6 +495,11 @@ def kmeans_full(spark, d):
     return cluster.kmeans(tracks(spark, d), 4)[0]
 
 
+@register("kmeans_rounds", oracle.kmeans_rounds(3))
+def kmeans_rounds(spark, d):
+    return cluster.kmeans(tracks(spark, d), 4, rounds=3)[0]
+
+
 # Radio and streams
 
 
