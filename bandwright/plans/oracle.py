@@ -315,7 +315,7 @@ c{r + 1} AS (SELECT cluster_id, band, bin, pow(avg(sqrt(p)), 2) AS p FROM h JOIN
 
 SIMILAR_REPORT = f"WITH {_top('hellinger', '3, 5, 8', 'track_id NOT IN (3, 5, 8)', 10)} SELECT rank, printf('%f', distance) || chr(9) || rpad(p_name, CAST(greatest(40, length(p_name)) AS INTEGER), ' ') || rpad(p_brand, CAST(greatest(30, length(p_brand)) AS INTEGER), ' ') || rpad(p_type, CAST(greatest(30, length(p_type)) AS INTEGER), ' ') AS line FROM (SELECT row_number() OVER (ORDER BY distance) AS rank, track_id, distance FROM best) JOIN part ON p_partkey = track_id"
 MATRIX_PRINT = f"WITH {_pairs('hellinger').replace('round(sum(d), 6) + 0e0', 'sum(d)')} SELECT i, string_agg(printf('%.2f', dist), ' ' ORDER BY j) AS line FROM pair GROUP BY i"
-SPECTRUM_TEXT = f"WITH {_DAYS} SELECT track_id, frame_no, string_agg(CAST(CAST(round(CAST(v AS DECIMAL(18, 8)), 4) AS DECIMAL(18, 4)) AS VARCHAR), ' ' ORDER BY band) AS line FROM cell GROUP BY ALL"
+SPECTRUM_TEXT = f"WITH {_DAYS} SELECT track_id, frame_no, string_agg(CAST(CAST(round(CAST(CAST(v AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DECIMAL(18, 4)) AS VARCHAR), ' ' ORDER BY band) AS line FROM cell GROUP BY ALL"
 STATS_REPORT = f"SELECT band, printf('%.4f', low) || ' ' || printf('%.4f', high) || ' ' || " + " || ' ' || ".join(f"printf('%.2f', pct_{r})" for r in range(14)) + f" AS line FROM ({BAND_STATS})"
 
 # Radio and streams
