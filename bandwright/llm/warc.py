@@ -54,17 +54,17 @@ def arc_version_block(version: int, name: str, date: str) -> bytes:
 
 
 def arc_record(version: int, url: str, date: str, kind: str, payload: bytes, offset: int = 0, name: str = "-") -> bytes:
-    """A URL record. Blanks and line ends, which part the fields, are percent-encoded in the url."""
-    url = "".join(f"%{ord(c):02X}" if c in " \t\r\n\x0b\x0c%" else c for c in url) or "-"
+    """A URL record. Blanks and line ends, which part the fields, are percent-encoded in the url; what is encoded already stays as it is."""
+    url = "".join(f"%{ord(c):02X}" if c in " \t\r\n\x0b\x0c" else c for c in url) or "-"
     middle = "" if version == 1 else f" 200 - - {offset} {name}"
     return f"{url} 0.0.0.0 {date} {kind}{middle} {len(payload)}\n".encode() + payload + b"\n"
 
 
 class Bytes:
-    """Reads lines and counted bytes from gzip members or from plain bytes, without holding the whole file."""
+    """Reads lines and counted bytes from gzip members or from plain bytes, without holding the whole file. Every byte is looked at once."""
 
     def __init__(self, source):
-        self.source, self.inside, self.ahead, self.packed = source, None, b"", None
+        self.source, self.inside, self.ahead, self.packed = source, None, bytearray(), None
 
     def more(self) -> bool:
         raw = b""
@@ -76,30 +76,31 @@ class Bytes:
             return False
         if self.packed is None:
             self.packed = raw[:2] == b"\x1f\x8b"
-        if not self.packed:
-            self.ahead += raw
-            return True
-        if self.inside is None:
+        if self.packed and self.inside is None:
             self.inside = zlib.decompressobj(31)
-        self.ahead += self.inside.decompress(raw)
+        self.ahead += self.inside.decompress(raw) if self.packed else raw
         return True
 
+    def cut(self, size: int) -> bytes:
+        out = bytes(memoryview(self.ahead)[:size])
+        del self.ahead[:size]  # moves no byte behind it
+        return out
+
     def line(self) -> bytes:
         """Up to and with the next line end; empty at the end of the file."""
-        while (i := self.ahead.find(b"\n")) < 0:
+        seen = 0
+        while (i := self.ahead.find(b"\n", seen)) < 0:
+            seen = len(self.ahead)
             if not self.more():
-                i = len(self.ahead) - 1
-                break
-        out, self.ahead = self.ahead[: i + 1], self.ahead[i + 1 :]
-        return out
+                return self.cut(seen)
+        return self.cut(i + 1)
 
     def take(self, size: int) -> bytes:
         while len(self.ahead) < size and self.more():
             pass
         if len(self.ahead) < size:
             raise EOFError(f"the file ends {size - len(self.ahead)} bytes early")
-        out, self.ahead = self.ahead[:size], self.ahead[size:]
-        return out
+        return self.cut(size)
 
 
 def readable(raw: bytes) -> str:
@@ -279,15 +280,18 @@ def scan_arc(files: DataFrame) -> DataFrame:
     return cut(files.repartition(min(max(1, files.count()), MOST_TASKS)).mapInArrow(run, "file string, place long, page_id long, digest binary, size long, error string"))
 
 
-def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
+def revisits(records: DataFrame, min_bytes: int = MIN_REVISIT, by_place: bool = True) -> DataFrame:
     """Adds response_id, response_file and response_place: of equal payloads of at least min_bytes the record with the smallest page_id, null for that record itself and for others.
 
-    Records without a page_id are responses. Of rows that repeat the smallest page_id each is a response.
+    Where no record of a payload has a page_id, as in scanned archives, the first by file and place is the response, unless
+    by_place is false; else records without one are responses. Of rows that repeat the smallest page_id each is a response.
     """
-    least = records.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "file", "place")).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    key = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "file", "place")
+    least = records.where((F.col("size") >= min_bytes) & (F.lit(by_place) | F.col("page_id").isNotNull())).groupBy("digest").agg(F.min(key).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     least = least.withColumnRenamed("digest", "least_digest")
     met = records.join(least, F.col("digest") == F.col("least_digest"), "left")
-    own = {f"response_{n}": F.when(F.col("page_id") > F.col("least.page_id"), F.col(f"least.{c}")) for n, c in (("id", "page_id"), ("file", "file"), ("place", "place"))}
+    later = F.when(F.col("least.none"), F.struct("file", "place") > F.struct("least.file", "least.place")).otherwise(F.col("page_id") > F.col("least.page_id"))
+    own = {f"response_{n}": F.when(later, F.col(f"least.{c}")) for n, c in (("id", "page_id"), ("file", "file"), ("place", "place"))}
     return met.withColumns(own).drop("least", "least_digest")
 
 
@@ -315,7 +319,7 @@ def convert(records: DataFrame, folder: str) -> DataFrame:
                             errors += 1
                             continue
                         x = known[place]
-                        refers_to = None if x["response_id"] is None else (record_id(x["response_file"], x["response_place"]), text(x["response_id"]))
+                        refers_to = None if x["response_file"] is None else (record_id(x["response_file"], x["response_place"]), text(x["response_id"]))
                         files.write(converted(arc, payload, record_id(file, place), text(x["page_id"]), refers_to))
                         sound += 1
                 files.close()
@@ -362,7 +366,7 @@ def round_trip(pages: DataFrame, version: int = 1) -> DataFrame:
     """
     folder = run_dir(pages.sparkSession, "archives")
     records = write_arc(pages, f"{folder}/arc", version)
-    back = read_warc(convert(revisits(records), f"{folder}/warc"))
+    back = read_warc(convert(revisits(records, by_place=False), f"{folder}/warc"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
 
 
