@@ -364,3 +364,5 @@ HISTORY = f"WITH {_FEEDBACK} SELECT session, row_number() OVER (PARTITION BY ses
 STREAM_FRAMING = f"WITH {_FRAMED} SELECT track_id, frame_no, round(sum(value), 6) AS total FROM framed GROUP BY ALL"
 STREAM_WINDOW = """SELECT strftime(d - k * INTERVAL 1 DAY, '%Y-%m-%d') AS start, event_type AS kind, count(*) AS n, round(sum(value), 4) AS total
 FROM (SELECT CAST(ts AS DATE) AS d, event_type, value FROM events), range(2) AS r(k) GROUP BY ALL"""
+#: Windows that the watermark, a day behind the latest event, has passed.
+STREAM_WINDOW_CLOSED = f"SELECT * FROM ({STREAM_WINDOW}) WHERE CAST(start AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"

@@ -565,6 +565,15 @@ def stream_window(spark, d):
     return windows.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "kind", "n", rounded(F.col("total"), 4).alias("total"))
 
 
+@register("stream_window_closed", oracle.STREAM_WINDOW_CLOSED)
+def stream_window_closed(spark, d):
+    """Each window once, when the watermark has passed its end; the state of closed windows goes."""
+    import uuid
+
+    windows = framing.drained(framing.hop_windows(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "2 days", "1 day", late="1 day"), f"closed-{uuid.uuid4().hex}")
+    return windows.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "kind", "n", rounded(F.col("total"), 4).alias("total"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTERED.items()}
 

@@ -23,11 +23,11 @@ def hop_frames(stream: DataFrame, window: int, step: int) -> DataFrame:
         places = list(zip(new["ts"].astype("int64"), new["event_id"], strict=True))
         fresh = [p > tuple(last) for p in places]
         tail = [*tail, *new["value"][fresh].tolist()]
-        out = []
-        while len(tail) > window:
-            out.append((key[0], frame_no, float(sum(tail[:window]))))
-            tail, frame_no = tail[step:], frame_no + 1
-        state.update((frame_no, tail, max([tuple(last), *places[-1:]])))
+        out, at = [], 0
+        while len(tail) - at > window:
+            out.append((key[0], frame_no, float(sum(tail[at : at + window]))))
+            at, frame_no = at + step, frame_no + 1
+        state.update((frame_no, tail[at:], max([tuple(last), *places[-1:]])))
         yield pd.DataFrame(out, columns=["track_id", "frame_no", "total"])
 
     return stream.groupBy("track_id").applyInPandasWithState(
