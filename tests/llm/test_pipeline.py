@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
 
 def test_entry_has_all():
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
