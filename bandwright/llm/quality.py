@@ -1,8 +1,8 @@
 """Quality rules: base counts of each text, and cross-document line frequency by host. DataFrame functions only.
 
 A line is normalised (lower case, digit runs as 0, white space runs as one blank, trimmed) and hashed. For each host the
-distinct documents of a line are counted; documents with the same set of lines are copies and count once, so that a group of
-copies does not make its own lines boilerplate. Lines in more than max_docs documents of a host are removed from that
+distinct documents of a line are counted; documents whose normalised lines are the same in the same order are copies and count
+once, so that a group of copies does not make its own lines boilerplate. Lines in more than max_docs documents of a host are removed from that
 host's documents, and documents that lose more than max_removed of their line characters are rejected. Texts are read
 once: counts and line hashes are written, and everything after works on these.
 """
@@ -29,25 +29,26 @@ def normalised(text: Column) -> Column:
     return text
 
 
-def line_hash(line: Column) -> Column:
-    """60 bits of MD5, so that other engines can follow."""
-    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
-
-
 def line_hashes(text: Column) -> Column:
     """Of every line in order; null for lines without a word."""
-    return F.transform(F.split(normalised(text), "\n"), lambda x: F.when(F.trim(x) != "", line_hash(F.trim(x))))
+    return F.transform(F.split(normalised(text), "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+
+
+def full_lines(text: Column) -> Column:
+    """(hash, size) of every line with a word, in order."""
+    each = F.transform(F.split(normalised(text), "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("hash"), F.length(F.trim(x)).alias("size")))
+    return F.filter(each, lambda x: x["size"] > 0)
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, counted in the column body."""
-    full_lines = F.filter(F.split("body", "\n"), lambda x: x.rlike(WORD))
-    docs = docs.withColumns({"words": F.array_remove(F.split("body", SPACES), ""), "full_lines": full_lines})
+    as_they_are = F.filter(F.split("body", "\n"), lambda x: x.rlike(WORD))
+    docs = docs.withColumns({"words": F.array_remove(F.split("body", SPACES), ""), "as_they_are": as_they_are})
     n = F.size("words").cast("long")
     docs = docs.withColumns({
         "n_words": n, "word_chars": F.length(F.array_join("words", "")).cast("long"), "n_symbols": F.regexp_count("body", F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long"), "bits": F.ceil(F.log2(n + 1)).cast("int"),
-    }).drop("full_lines")
+        "n_dup_lines": (F.size("as_they_are") - F.size(F.array_distinct("as_they_are"))).cast("long"), "bits": F.ceil(F.log2(n + 1)).cast("int"),
+    }).drop("as_they_are")
     # A window's hash in the high bits and its place in the low ones: sorting brings equal windows together.
     word = lambda i: F.get(F.col("words"), i)
     code = lambda i: F.call_function("shiftleft", F.xxhash64(word(i), word(i + 1), word(i + 2)), F.col("bits")).bitwiseOR(i.cast("long"))
@@ -66,7 +67,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """(host, hash) of lines in more than max_docs distinct documents of the host. lines: (host, copy, hash), copy naming a document's set of lines."""
+    """(host, hash) of lines in more than max_docs distinct documents of the host. lines: (host, copy, hash), copy naming a document's normalised text."""
     return lines.select("host", "hash", "copy").distinct().groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs")
 
 
@@ -78,11 +79,8 @@ def verdicts(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, ma
     are judged whole. Other columns are ignored.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("body"))
-    sizes = F.transform(F.split(normalised(F.col("body")), "\n"), lambda x: F.length(F.trim(x)))
-    lines = F.filter(F.arrays_zip(line_hashes(F.col("body")).alias("hash"), sizes.alias("size")), lambda x: x["hash"].isNotNull())
-    each = base_counts(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("lines", lines)).drop("body")
-    own = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["hash"])))
-    each = cut(each.withColumns({"host": F.xxhash64("host"), "copy": F.xxhash64(own)}))
+    each = base_counts(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("lines", full_lines(F.col("body")))).drop("body")
+    each = cut(each.withColumns({"host": F.xxhash64("host"), "copy": F.xxhash64(F.transform("lines", lambda x: x["hash"]))}))
     by_line = each.select("row", "host", "copy", F.explode("lines").alias("line")).select("row", "host", "copy", F.col("line.hash").alias("hash"), F.col("line.size").alias("size"))
     often = cut(frequent_lines(by_line, max_docs)).select(F.col("host").alias("often_host"), F.col("hash").alias("often"))
     few = often.count() <= BROADCAST_KEYS
@@ -121,11 +119,11 @@ w AS (SELECT rn, regexp_extract_all(body, '[^\x20\x09-\x0D]+') AS ws FROM d),
 x AS (SELECT rn, i, list_extract(ws, i) || chr(10) || list_extract(ws, i + 1) || chr(10) || list_extract(ws, i + 2) AS gram FROM (SELECT rn, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 y AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, gram) AS c FROM x) WHERE c > 1),
 z AS (SELECT rn, count(DISTINCT i + k) AS n_repeat_words FROM y, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rn),
-l AS (SELECT rn, host, unnest(string_split(body, chr(10))) AS line FROM d),
+l AS (SELECT rn, host, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS place FROM d),
 dl AS (SELECT rn, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rn),
-nl AS (SELECT rn, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
-hl AS (SELECT rn, host, line, length(line) AS size FROM nl WHERE line <> ''),
-c AS (SELECT rn, string_agg(line, chr(10) ORDER BY line) AS all_lines FROM (SELECT DISTINCT rn, line FROM hl) GROUP BY rn),
+nl AS (SELECT rn, host, place, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS line FROM l),
+hl AS (SELECT rn, host, place, line, length(line) AS size FROM nl WHERE line <> ''),
+c AS (SELECT rn, string_agg(line, chr(10) ORDER BY place) AS all_lines FROM hl GROUP BY rn),
 o AS (SELECT host, line FROM hl JOIN c USING (rn) GROUP BY host, line HAVING count(DISTINCT all_lines) > {max_docs}),
 g AS (SELECT hl.rn, sum(size) AS chars, coalesce(sum(size) FILTER (WHERE o.line IS NOT NULL), 0) AS gone FROM hl LEFT JOIN o ON hl.host = o.host AND hl.line = o.line GROUP BY hl.rn),
 s AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,

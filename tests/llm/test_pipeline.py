@@ -39,7 +39,7 @@ def judged_by_hand(rows):
     held = {}
     for _, text, source in rows:
         for line in set(lines(text or "")) - {""}:
-            held.setdefault((source, line), set()).add(tuple(sorted(set(lines(text or "")) - {""})))
+            held.setdefault((source, line), set()).add(tuple(x for x in lines(text or "") if x))
     out = {}
     for doc_id, text, source in rows:
         w = (text or "").split()

@@ -41,6 +41,22 @@ def test_frequent_lines_and_copies(spark):
     assert out[3]["text"] == lines(3) and out[200]["text"].endswith(banner) and 300 not in out and out[3]["hash"] == 2
 
 
+def test_documents_are_copies_by_their_whole_text(spark, tmp_path):
+    """300 documents of 7 texts with one set of lines count as 7; and as 7 more under another host."""
+    one, two = lines(1, 1), lines(2, 1)
+    texts = ["\n".join([one] * a + [two] * b) for a, b in ((1, 1), (2, 1), (1, 2), (3, 1), (1, 3), (2, 2))] + [f"{two}\n{one}"]
+    rows = docs(spark, [(k, ("  " if k % 2 else "") + texts[k % 7].upper() + "\n" * (k % 3), "en", "h", 1) for k in range(300)])
+    rows = rows.unionByName(docs(spark, [(1000 + k, texts[k], "en", "i", 1) for k in range(7)]))
+    for limit, gone in ((6, True), (7, False)):
+        judged = quality.verdicts(rows, max_docs=limit).collect()
+        assert len(judged) == 307 and {bool(r["removed_chars"]) for r in judged} == {gone}
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for limit, gone in ((6, True), (7, False)):
+        assert {bool(x) for (x,) in db.execute(f"SELECT removed_chars FROM ({quality.oracle(limit)})").fetchall()} == {gone}
+
+
 def test_shared_lines_do_not_hide_each_other(spark):
     shared = ["the first line that all of them hold", "and the second of these lines", *(f"template line {chr(97 + i)}" for i in range(20))]
     for n in (2, 22):
