@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-1. A copy at THRESHOLD whose words are replaced or left out keeps (4 * THRESHOLD - 1) / 3 of the item's word bigrams less
-   one. So the most frequent bigrams of an item (by the items that hold them), as many as half of those it keeps, need no
-   look: its rare ones are the seeds, and a document must hold the other half. Longer seeds would miss evenly edited copies.
+1. In any alignment at THRESHOLD at least (4 * THRESHOLD - 1) / 3 of the item's word bigrams less one stand in the document
+   side by side or with one word put in between (`kept_grams`). So the most frequent bigrams of an item (by the items that
+   hold them), as many as half of those it keeps, need no look: its rare ones are the seeds, and a document must hold the
+   other half among its own bigrams and its pairs over one word. Longer seeds would miss evenly edited copies.
 2. A document's seeds fetch the items that hold them; around the shared bigrams' diagonal the item is aligned to the
    document word by word. The score is divided by the item's score against itself, and at THRESHOLD the passage counts as a leak.
 The items are read in blocks of bounded size, each against all documents.
@@ -30,7 +31,12 @@ COARSE = 20
 
 
 def kept_grams(size: np.ndarray | int, threshold: float) -> np.ndarray:
-    """Of an item of size words the least number of its N-grams that a copy at threshold with words replaced or left out keeps."""
+    """Of an item of size words the least number of its bigrams that a copy at threshold keeps, side by side or over one word.
+
+    With m matched words the gaps and mismatches cost 2 * m - 2 * threshold * size at most. A bigram is lost for one of
+    these where an inner word is replaced or left out, and for two where words are put in. With u inner words replaced or
+    left out m = size - u, so that least is kept where all edits are of that kind: u = (2 - 2 * threshold) / 3 * size.
+    """
     return np.maximum(1, np.ceil((4 * threshold - 1) / 3 * size - 1 - 1e-9)).astype(np.int64)
 
 
@@ -67,6 +73,17 @@ class Items:
         return self.words[self.starts[i] : self.starts[i + 1]]
 
 
+def met_grams(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, places, how many of them are plain) of a document's n-grams, for n = 2 the pairs over one word behind them."""
+    plain = grams(words, n)
+    if n != 2 or len(words) < 3:
+        return plain, np.arange(len(plain)), len(plain)
+    even, odd = grams(words[::2], 2), grams(words[1::2], 2)
+    over = np.empty(len(even) + len(odd), np.uint64)
+    over[::2], over[1::2] = even, odd
+    return np.concatenate((plain, over)), np.concatenate((np.arange(len(plain)), np.arange(len(over)))), len(plain)
+
+
 class Seeds:
     """(hash, item, place) sorted by hash, with a coarse bitmap in front."""
 
@@ -117,9 +134,11 @@ def smith_waterman(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, 0, stop
 
 
-def regions(hits: list[tuple[int, int]], size: int, length: int) -> Iterator[tuple[int, int]]:
-    """Parts of a document of length words that may hold an item of size words, from its seeds (place, place in the item)."""
-    slack = size // 2 + 4
+def regions(hits: list[tuple[int, int]], size: int, length: int, slack: int) -> Iterator[tuple[int, int]]:
+    """Parts of a document of length words that may hold an item of size words, from its bigrams (place, place in the item).
+
+    slack: words that an alignment may put in or leave out.
+    """
     start = stop = None
     for place, own in sorted(hits, key=lambda h: h[0] - h[1]):
         a, b = max(0, place - own - slack), min(length, place - own + size + slack)
@@ -137,8 +156,8 @@ def leaks_of(words: np.ndarray, items: Items, threshold: float) -> Iterator[tupl
     """(item_id, start, stop, score) of each passage of a document that an item aligns to."""
     known = None
     for n, seeds in items.seeds.items():
-        g = grams(words, n)
-        item, place = seeds.met(g)
+        g, places, plain = met_grams(words, n)
+        item, _ = seeds.met(g)
         if not len(item):
             continue
         found, shared = np.unique(item, return_counts=True)
@@ -161,9 +180,15 @@ def leaks_of(words: np.ndarray, items: Items, threshold: float) -> Iterator[tupl
             if not enough(int(there.sum()), int((high > low).sum()) if size >= N else size):
                 continue
             count = high - low
-            at = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            hit = order[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
             by = np.repeat(np.arange(len(mine)), count)
-            todo = list(regions(list(zip(at.tolist(), by.tolist(), strict=True)), size, len(words)))
+            side_by_side = hit < plain
+            shared = len(np.unique(by[side_by_side])) if size >= N else size
+            if not enough(int(there.sum()), shared):
+                continue
+            at = places[hit]
+            todo = list(regions(list(zip(at.tolist(), by.tolist(), strict=True)), size, len(words), int(2 * (1 - threshold) * size) + 1))
+            at, by = at[side_by_side], by[side_by_side]
             while todo:
                 a, b = todo.pop()
                 part = words[a:b]
