@@ -1,13 +1,15 @@
 """Main text of HTML pages by wrapper induction.
 
-1. Pages of a host that use the same containers (tag and class) have the same layout. A layout of MIN_PAGES pages or more
-   gets a reference, one of its pages; pages of rarer layouts take the reference of the host's most common one.
+1. Pages of a host that use the same containers (tag and class) have the same layout; containers on fewer than MIN_PAGES of
+   the host's pages say nothing about it. A layout of MIN_PAGES pages or more gets a reference, one of its pages; pages of
+   rarer layouts take the reference of the host's most common one.
 2. Each page's tree of blocks is aligned with its reference by simple tree matching. For each reference node it is counted
    over all pages how often it was met, how often with the same text, and how many characters, in links and not, it held.
    Pages that copy the reference's longest blocks say nothing about what is constant.
 3. From these figures the wrapper is induced: constant nodes are template; the varying slot that holds most of the text is
    the content. Tags, roles, classes and ids are a prior only: they weigh a slot's text, and slots inside the content that
-   they name as clutter go unless nearly all text is there.
+   they name as clutter (comments vary and hold no links, so that names alone tell them) go unless nearly all text is there.
+   A name that says clutter and something else besides ("social-history") says nothing: text or links decide.
 4. The alignment carries the wrapper over to every page. A page that no wrapper fits is its own evidence.
 Counts cover all pages; a host's pages are never gathered.
 """
@@ -33,8 +35,9 @@ MIN_PAGES, CONSTANT = 4, 0.9
 BROADCAST_CHARS, SALTS = 16 << 20, 32
 #: How a slot's text weighs by what its names say, what a main element weighs without text, and the share that makes one child the content.
 MAIN_WEIGHT, CLUTTER_WEIGHT, MAIN_CHARS, DOMINANT = 4.0, 0.05, 50, 0.75
-#: A slot of the content named as clutter stays if it holds this share of the text; an unnamed one outside of articles goes if links do.
-NEARLY_ALL, LINKS = 0.9, 0.8
+#: A slot of the content named as clutter stays if it holds this share of the text; an unnamed one outside of articles goes if links do,
+#: one of an unsure name anywhere if links hold the last.
+NEARLY_ALL, LINKS, UNSURE_LINKS = 0.9, 0.8, 0.5
 #: Rows of a matching table between two that are kept for the way back.
 ROWS_APART = 256
 
@@ -57,7 +60,17 @@ NAMES = frozenset(
     related recommended recommendations comment comments commentlist discussion replies reply disqus respond feedback pagination pager paginate toolbar copyright
     legal disclaimer paywall skip skiplink hidden""".split()
 )
+#: Words that a clutter's name may have besides: they say where or what part of it an element is.
+PARTS = frozenset(
+    """a about action actions all also and area around article articles author bar below block blocks body bottom box btn button buttons by card cards center close col
+    column container content count counter cta desktop dropdown element email end entry facebook field fields fixed follow for form foot global group head header heading
+    here hero icon icons image in info inline inner input item items label latest layout left level like link links list lists logo main may media message meta mobile module
+    more most news of on or our outer page pages panel policy popular post posts primary rail read reader readers region right rights row secondary section sections
+    side single site slot small start sticky stories story strip tab tabs tags text the thread tile title to tool tools top topics trending twitter ui unit user users view
+    wrap wrapper x you your zone""".split()
+)
 MAIN = frozenset("content article post entry story main".split())
+ALL_CLUTTER = NAMES | PARTS
 #: Words before a name in a class that make it a state of the element instead of its kind.
 STATES = frozenset("has no not with without is are can".split())
 
@@ -71,7 +84,7 @@ RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.IGNORECASE) for tag
 #: A layout is the set of these, without digits.
 CONTAINER = r"(?i)<((?:div|section|article|main|header|footer|aside|nav|form|table)\b(?:[^>]*?\bclass\s*=\s*[\"']?[^\"'>]*)?)"
 
-GONE, HINTED, PLAIN, GOOD = -2, -1, 0, 1
+GONE, HINTED, UNSURE, PLAIN, GOOD = -3, -2, -1, 0, 1
 
 
 class Node:
@@ -84,7 +97,7 @@ class Node:
 
 
 def named(attributes: str) -> tuple[bool, int]:
-    """Whether an element is hidden, and what its role, class and id say: HINTED for clutter, GOOD for main content, else PLAIN."""
+    """Whether an element is hidden, and what its role, class and id say: HINTED for clutter, UNSURE for clutter and something else, GOOD for main content, else PLAIN."""
     hint = PLAIN
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
@@ -99,7 +112,7 @@ def named(attributes: str) -> tuple[bool, int]:
                 if words and words[0] in STATES:
                     continue
                 if not NAMES.isdisjoint(words):
-                    hint = HINTED
+                    hint = HINTED if hint == HINTED or ALL_CLUTTER.issuperset(words) else UNSURE
                 elif hint == PLAIN and not MAIN.isdisjoint(words):
                     hint = GOOD
     return False, hint
@@ -175,10 +188,10 @@ def parse(page: str) -> list[Node]:
             hidden, hint = named(attributes) if attributes and ("=" in attributes or "hidden" in attributes) else (False, PLAIN)
             if hidden or tag in DROPPED or tag == "label" and opened["form"]:
                 node = None
-            elif tag in BLOCKS or hint == HINTED:
+            elif tag in BLOCKS or hint < PLAIN:
                 inside = opened["article"] or opened["main"]
                 hint = GONE if tag in STRONG or tag == "header" and not inside else GOOD if tag in ("article", "main") else HINTED if tag in WEAK else hint
-                node = Node(tag, PLAIN if hint == HINTED and tag in PROSE and tag not in ("ul", "ol", "dl") else hint, parent)
+                node = Node(tag, PLAIN if hint in (HINTED, UNSURE) and tag in PROSE and tag not in ("ul", "ol", "dl") else hint, parent)
                 parent.items.append(node)
                 nodes.append(node)
         if tag in RAW:
@@ -358,7 +371,7 @@ class Wrapper:
         mass = [max(0.0, x) for x in mass]
 
         def weight(n: Node) -> float:
-            if n.hint < 0:
+            if n.hint < UNSURE:
                 return CLUTTER_WEIGHT * mass[n.place]
             return MAIN_WEIGHT * (mass[n.place] + MAIN_CHARS * (n.tag in ("article", "main"))) if n.hint == GOOD else mass[n.place]
 
@@ -379,6 +392,8 @@ class Wrapper:
             met, _, chars, links = figures[n.place]
             if n.hint == GONE or n.hint == HINTED and mass[n.place] < NEARLY_ALL * mass[root.place]:
                 self.gone.add(n.place)
+            elif n.hint == UNSURE and chars and links >= UNSURE_LINKS * chars:
+                self.gone.add(n.place)
             elif root.hint != GOOD and n.tag not in PROSE | {"article", "main"} and chars and links >= LINKS * chars:
                 self.gone.add(n.place)
             elif root.hint != GOOD and n.tag in ("ul", "ol", "dl") and chars and links >= LINKS * chars:
@@ -400,7 +415,7 @@ def unwrapped(nodes: list[Node], reference: list[Node] | None, wrapper: Wrapper
             for n in nodes[root.place : root.place + root.size]:
                 r = met.get(n.place)
                 if r is None:
-                    if n.hint < 0:
+                    if n.hint < UNSURE or n.hint == UNSURE and n.links >= UNSURE_LINKS * n.chars:
                         gone.add(n.place)
                 elif r.place in wrapper.gone or r.place in wrapper.constant and r.full == n.full or n.hint == GONE:
                     gone.add(n.place)
@@ -485,13 +500,32 @@ def counted(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, NODES).groupBy("wrapper", "node").agg(*(F.sum(c).alias(c) for c in ("met", "same", "chars", "links")))
 
 
+def common_layouts(rows: DataFrame) -> DataFrame:
+    """(host, layout, n, kind) of each layout of rows (host, layout, used): its n pages, and its containers on MIN_PAGES pages of the host or more.
+
+    kind is equal for layouts that differ in rarer containers only, as where each page has a class of its own.
+    """
+    sizes = cut(rows.groupBy("host", "layout").agg(F.count("*").alias("n"), F.first("used").alias("used")))
+    each = sizes.select("host", "layout", "n", F.explode("used").alias("container"))
+    often = cut(each.groupBy("host", "container").agg(F.sum("n").alias("pages")).where(F.col("pages") >= MIN_PAGES).drop("pages"))
+    few = often.count() <= BROADCAST_KEYS
+    # beyond that a container of all layouts of a host is dealt to parts
+    salt, salts = (F.lit(0), F.array(F.lit(0))) if few else (F.pmod(F.col("layout"), F.lit(SALTS)).cast("int"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    often = often.select("host", "container", F.explode(salts).alias("salt"))
+    kept = each.withColumn("salt", salt).join(F.broadcast(often) if few else often, ["host", "container", "salt"])
+    kinds = kept.groupBy("host", "layout").agg(F.xxhash64(F.array_sort(F.collect_set("container"))).alias("kind"))  # bounded by a page's containers
+    return sizes.drop("used").join(kinds, ["host", "layout"], "left").withColumn("kind", F.coalesce("kind", F.lit(0)))
+
+
 def wrappers(rows: DataFrame) -> DataFrame:
-    """(host, layout, wrapper) of each layout of rows (host, layout): its own wrapper, or that of the host's most common layout."""
-    sizes = rows.groupBy("host", "layout").agg(F.count("*").alias("n"))
+    """(host, layout, wrapper) of each layout of rows (host, layout, used): that of its kind, or of the host's most common kind."""
+    layouts = cut(common_layouts(rows))
+    sizes = layouts.groupBy("host", "kind").agg(F.sum("n").alias("n"))
     own = sizes.where(F.col("n") >= MIN_PAGES)
-    most = own.groupBy("host").agg(F.max_by("layout", F.struct("n", "layout")).alias("common"))
-    met = sizes.join(most, "host").select("host", "layout", F.when(F.col("n") >= MIN_PAGES, F.col("layout")).otherwise(F.col("common")).alias("taken"))
-    return met.select("host", "layout", F.xxhash64("host", "taken").alias("wrapper"), (F.col("layout") == F.col("taken")).alias("own"))
+    most = own.groupBy("host").agg(F.max_by("kind", F.struct("n", "kind")).alias("common"))
+    met = sizes.join(most, "host").select("host", "kind", F.when(F.col("n") >= MIN_PAGES, F.col("kind")).otherwise(F.col("common")).alias("taken"))
+    taken = met.select("host", "kind", F.xxhash64("host", "taken").alias("wrapper"), (F.col("kind") == F.col("taken")).alias("own"))
+    return layouts.join(taken, ["host", "kind"]).select("host", "layout", "wrapper", "own")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -503,8 +537,9 @@ def extract(pages: DataFrame) -> DataFrame:
     host, _ = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     used = F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(CONTAINER), F.lit(1)), lambda x: F.regexp_replace(F.lower(x), r"[0-9]+|\s+class\s*=", "")))
-    rows = rows.withColumn("layout", F.xxhash64(F.array_sort(used)))
-    known = cut(wrappers(rows))
+    rows = rows.withColumn("used", F.array_sort(F.transform(used, lambda x: F.xxhash64(x)))).withColumn("layout", F.xxhash64("used"))
+    known = cut(wrappers(rows.select("host", "layout", "used")))
+    rows = rows.drop("used")
     keys = known.withColumnsRenamed({"host": "own_host", "layout": "own_layout"})
     if known.count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
