@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from bandwright.functions import distances
 from bandwright.functions.arrays import rounded
+from bandwright.operators import aggregates
 
 MAX_ROUNDS = 40
 #: Centres that one broadcast row holds at most.
@@ -46,6 +47,15 @@ def centroids(points: DataFrame, assigned: DataFrame, strategy: Strategy = HELLI
     return whole.select("cluster_id", F.transform("H", lambda b: F.transform(b["h"], lambda x: x["p"])).alias("hist"))
 
 
+def merged_centroids(points: DataFrame, assigned: DataFrame, aggregate: aggregates.Aggregate | None = None) -> DataFrame:
+    """(cluster_id, hist): the centroid by any mergeable aggregate over a point's cells in a row. Points have bands of equal length."""
+    rows = points.join(assigned, "track_id").withColumn("bins", F.size(F.col("hist")[0]))
+    bins = rows.groupBy("cluster_id").agg(F.max("bins").alias("bins"))
+    found = aggregates.merged(rows, F.col("cluster_id"), F.flatten("hist"), aggregate or aggregates.HellingerMean()).withColumnRenamed("key", "cluster_id")
+    bands = F.transform(F.sequence(F.lit(0), (F.size("result") / F.col("bins")).cast("int") - 1), lambda b: F.slice("result", b * F.col("bins") + 1, F.col("bins")))
+    return found.join(bins, "cluster_id").select("cluster_id", bands.alias("hist"))
+
+
 def assign(points: DataFrame, centres: DataFrame, strategy: Strategy = HELLINGER) -> DataFrame:
     """(track_id, cluster_id): nearest centre by distance to 9 digits, the lowest cluster on ties. centres: (cluster_id, hist), few."""
     if centres.count() > MAX_CENTRES:

@@ -298,6 +298,9 @@ SELECT 0 AS cluster_id, track_id FROM s0 UNION ALL SELECT 1, track_id FROM s1 UN
 KMEANS_STEP = f"""WITH {_to_seeds("hellinger", "0, 1, 2, 3")}, own AS (SELECT track_id, arg_min(seed_id, (round(dist, 9), seed_id)) AS cluster_id FROM dist GROUP BY track_id)
 SELECT cluster_id, CAST(band AS INTEGER) AS band, CAST(bin AS INTEGER) AS bin, round(pow(avg(sqrt(p)), 2), 6) AS p FROM h JOIN own USING (track_id) GROUP BY ALL"""
 
+MERGED_MOMENTS = """SELECT CAST(l_linenumber AS BIGINT) AS line, count(*) AS n, round(avg(l_quantity), 4) AS mean_quantity, round(avg(l_extendedprice), 4) AS mean_price,
+round(var_samp(l_quantity), 4) AS var_quantity, round(var_samp(l_extendedprice), 2) AS var_price FROM lineitem GROUP BY l_linenumber"""
+
 _SEEDED = KMEANS_SEED.partition("\nSELECT 0 AS cluster_id")[0]
 
 

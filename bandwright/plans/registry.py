@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from bandwright.config import SMALL, EngineConfig
 from bandwright.functions import arrays, distances, scales
 from bandwright.functions.arrays import rounded
-from bandwright.operators import catalog, cluster, features, frames, ingest, pairs, radio, signal, similarity, stats
+from bandwright.operators import aggregates, catalog, cluster, features, frames, ingest, pairs, radio, signal, similarity, stats
 from bandwright.plans import oracle
 from bandwright.sources import datasource, files, standins, tables
 from bandwright.sources.standins import catalog as parts
@@ -490,6 +490,23 @@ def kmeans_step(spark, d):
     return new.select("cluster_id", F.posexplode("hist").alias("band", "h")).select("cluster_id", "band", F.posexplode("h").alias("bin", "p")).withColumn("p", rounded(F.col("p")))
 
 
+@register("kmeans_step_merged", oracle.KMEANS_STEP)
+def kmeans_step_merged(spark, d):
+    t = tracks(spark, d)
+    centres = t.where("track_id < 4").select(F.col("track_id").alias("cluster_id"), "hist")
+    new = cluster.merged_centroids(t, cluster.assign(t, centres))
+    return new.select("cluster_id", F.posexplode("hist").alias("band", "h")).select("cluster_id", "band", F.posexplode("h").alias("bin", "p")).withColumn("p", rounded(F.col("p")))
+
+
+@register("merged_moments", oracle.MERGED_MOMENTS)
+def merged_moments(spark, d):
+    rows = table(spark, d, "lineitem")
+    found = aggregates.merged(rows, F.col("l_linenumber"), F.array("l_quantity", "l_extendedprice"), aggregates.Moments())
+    names = ("mean_quantity", "mean_price", "var_quantity", "var_price")
+    cells = (F.round(F.col("result")[i + 1], 2 if i == 3 else 4).alias(n) for i, n in enumerate(names))
+    return found.select(F.col("key").alias("line"), F.col("result")[0].cast("long").alias("n"), *cells)
+
+
 @register("kmeans_full", None)
 def kmeans_full(spark, d):
     return cluster.kmeans(tracks(spark, d), 4)[0]
