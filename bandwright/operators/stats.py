@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from bandwright.functions.arrays import bin_of, total
+from bandwright.functions.arrays import bin_of, fixed, total
 
 RANGES, RANGE_WIDTH = 14, 0.25
 #: Frames of a block of the self-similarity.
@@ -26,8 +26,8 @@ def band_stats(frames: DataFrame) -> DataFrame:
 
 
 def stats_report(stats: DataFrame) -> DataFrame:
-    shares = F.concat_ws(" ", *(F.format_number(f"pct_{r}", 2) for r in range(RANGES)))
-    return stats.select("band", F.concat_ws(" ", F.format_number("low", 4), F.format_number("high", 4), shares).alias("line"))
+    shares = F.concat_ws(" ", *(fixed(F.col(f"pct_{r}"), 2) for r in range(RANGES)))
+    return stats.select("band", F.concat_ws(" ", fixed(F.col("low"), 4), fixed(F.col("high"), 4), shares).alias("line"))
 
 
 def self_similarity(frames: DataFrame) -> DataFrame:
