@@ -5,10 +5,12 @@
    the shared folder once.
 2. Lists of phrases grow by one word a round: a phrase's positions, moved on by its length, are merge-joined with the
    postings of the words that stand there, if a phrase of the same length starts one word further on. A list's length is
-   the phrase's number of occurrences in the block. Only (hash, length) is shuffled and summed.
-3. A round's frequent phrases make a bit filter of a fixed size (FILTER_BITS), which the next round's tasks hold. It
+   the phrase's number of occurrences in the block. Only (numbers of its words, length) is shuffled and summed.
+3. Words are summed by text. A word's number is half of its hash; those that share it with another word are found among all
+   words and have numbers of their own, so a phrase's numbers stand for its text and no hash decides a result.
+4. A round's frequent phrases make a bit filter of a fixed size (FILTER_BITS), which the next round's tasks hold. It
    spares lists that cannot be frequent; those that pass wrongly cost work, never a result.
-4. At last the blocks give the texts of all lists that pass, and frequencies are summed by text, so no hash decides a result.
+5. At last the texts of frequent phrases are joined from their words, each once.
 
 Rows: a null text has no words, a null lang is `und`; rows that repeat an id or a text count again; an empty table gives an
 empty one; texts are taken whole, one that is longer than a block is a block of its own; other columns are not looked at,
@@ -23,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,8 @@ from bandwright.llm.common import FACTOR, mixed, run_dir, texts_of
 
 #: Words after which blocks end with their document, and bits of the filter of frequent phrases.
 BLOCK_WORDS, FILTER_BITS = 2_000_000, 1 << 26
+#: Numbers from here on are given to words whose halves of hashes are alike.
+OTHERS = (1 << 32) - (1 << 24)
 #: Words of the longest phrase, its least frequency, rows of a language, and the share in percent at which a longer phrase stands for a shorter one.
 LONGEST, LEAST, ROWS, SHARE = 4, 30, 2000, 80
 #: Bytes that end a piece: of these, the point stands for all.
@@ -106,65 +109,157 @@ def passing(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
+def keys_of(pairs: list[np.ndarray]) -> np.ndarray:
+    """Keys of phrases of two words or more for the filter; pairs hold the numbers of two words each, a last one alone where the words are odd."""
+    keys = mixed(pairs[0])
+    for x in pairs[1:]:
+        keys = mixed(keys * np.uint64(FACTOR) + x)
+    return keys
+
+
+def hashes_of(langs: list[str], words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, a language's by its own seed."""
+    seeds = {x: xxhash.xxh3_64_intdigest(x.encode()) for x in set(langs)}
+    return mixed(np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[x]) for x, w in zip(langs, words, strict=True)), np.uint64, len(words)))
+
+
+@dataclass
+class Numbers:
+    """Numbers of 32 bits, one for each word that passes the filter and no two alike: the upper half of its hash, but for the words that others gives one."""
+
+    taken: np.ndarray
+    others: dict[tuple[str, bytes], int]
+
+    def of(self, langs: list[str], words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        out = hashes >> np.uint64(32)
+        for i in np.flatnonzero((out >= OTHERS) | np.isin(out, self.taken)).tolist():
+            out[i] = self.others.get((langs[i], words[i]), OTHERS)  # words that don't pass have none
+        return out
+
+
 @dataclass
 class Lists:
-    """Phrases of one length in a block: keys, lengths of lists, the lists behind each other, the phrase without its last word (a row of the round before), and that word."""
+    """Phrases of one length in a block: the numbers of their words by pairs, lengths of lists, and the lists behind each other."""
 
-    keys: np.ndarray
+    pairs: list[np.ndarray]
     lengths: np.ndarray
     positions: np.ndarray
-    parents: np.ndarray
-    words: np.ndarray
 
     def kept(self, chosen: np.ndarray) -> Lists:
-        return Lists(self.keys[chosen], self.lengths[chosen], self.positions[np.repeat(chosen, self.lengths)], self.parents[chosen], self.words[chosen])
+        return Lists([x[chosen] for x in self.pairs], self.lengths[chosen], self.positions[np.repeat(chosen, self.lengths)])
 
-    def extended(self, size: int, word_at: np.ndarray, hashes: np.ndarray) -> Lists:
+    def extended(self, size: int, word_at: np.ndarray, numbers: np.ndarray) -> Lists:
         """The lists of phrases of size words, by one word more."""
-        phrase = np.repeat(np.arange(len(self.keys)), self.lengths)
+        phrase = np.repeat(np.arange(len(self.lengths)), self.lengths)
         starts = np.zeros(len(word_at), bool)
         starts[self.positions] = True
         follower = word_at[self.positions + size]  # the posting that has the adjacent position
         met = (follower >= 0) & starts[self.positions + 1]
-        pair = phrase[met] * len(hashes) + follower[met]
+        pair = phrase[met] * len(numbers) + follower[met]
         order = np.argsort(pair, kind="stable")
         pair, positions = pair[order], self.positions[met][order]
         first = np.flatnonzero(np.diff(pair, prepend=-1))
-        parents, words = pair[first] // len(hashes), pair[first] % len(hashes)
-        return Lists(mixed(self.keys[parents] * np.uint64(FACTOR) + hashes[words]), np.diff(first, append=len(pair)), positions, parents, words)
+        parents, last = pair[first] // len(numbers), numbers[pair[first] % len(numbers)]
+        pairs = [x[parents] for x in self.pairs]
+        if size % 2:
+            pairs[-1] = pairs[-1] << np.uint64(32) | last
+        else:
+            pairs.append(last)
+        return Lists(pairs, np.diff(first, append=len(pair)), positions)
 
 
-def grown(block: dict, rounds: int, table: np.ndarray | None) -> Iterator[Lists]:
-    """The block's lists of each length up to rounds words; all but the last round's only where the filter lets them pass."""
+def grown(block: dict, size: int, table: np.ndarray, numbered_as: Numbers) -> Lists:
+    """The block's lists of size words, at least two; shorter ones only where the filter lets them pass."""
     lengths, steps = numbers_of(block["lengths"]).astype(np.int64), numbers_of(restored(block["positions"])).astype(np.int64)
     sums = np.cumsum(steps)
     starts = np.cumsum(lengths) - lengths
     positions = sums - np.repeat(np.concatenate(([0], sums))[starts], lengths)
-    own = xxhash.xxh3_64_intdigest(block["lang"].encode())
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, own) for w in block["words"]), np.uint64, len(block["words"]))
-    word_at = np.full((int(positions.max()) if len(positions) else 0) + LONGEST + 2, -1, np.int64)
+    langs = [block["lang"]] * len(block["words"])
+    hashes = hashes_of(langs, block["words"])
+    numbers = numbered_as.of(langs, block["words"], hashes)
+    word_at = np.full((int(positions.max()) if len(positions) else 0) + size + 1, -1, np.int64)
     word_at[positions] = np.repeat(np.arange(len(lengths)), lengths)
-    none = np.full(len(lengths), -1)
-    lists = Lists(mixed(hashes), lengths, positions, none, np.arange(len(lengths)))
-    for size in range(1, rounds + 1):
-        if size < rounds:
-            lists = lists.kept(passing(lists.keys, table))
-        yield lists
-        if size < rounds:
-            lists = lists.extended(size, word_at, hashes)
+    lists = Lists([numbers], lengths, positions).kept(passing(hashes, table))
+    for k in range(1, size):
+        if k > 1:
+            lists = lists.kept(passing(keys_of(lists.pairs), table))
+        lists = lists.extended(k, word_at, numbers)
+    return lists
 
 
-def counted(found: DataFrame, rounds: int, table: Broadcast | None) -> DataFrame:
-    """(key, n) of each block's phrases of rounds words."""
+def vocabulary(found: DataFrame) -> DataFrame:
+    """(lang, word, n, key) in the shared folder: each language's words, how often they occur, and their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                *_, last = grown(b.slice(k, 1).to_pylist()[0], rounds, table.value if table else None)
-                for at in range(0, len(last.keys), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(last.keys[at : at + (1 << 16)].view(np.int64)), pa.array(last.lengths[at : at + (1 << 16)])], names=["key", "n"])
+            for lang, words, lengths in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), words.values, pa.array(numbers_of(lengths.as_py()).astype(np.int64))], names=["lang", "word", "n"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = hashes_of(b.column(0).to_pylist(), b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys.view(np.int64))], names=["lang", "word", "n", "key"])
 
-    return found.mapInArrow(run, "key long, n long")
+    counts = found.select("lang", "words", "lengths").mapInArrow(run, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    folder = run_dir(found.sparkSession, "words")
+    counts.mapInArrow(hashed, "lang string, word binary, n long, key long").write.parquet(folder)
+    return found.sparkSession.read.parquet(folder)
+
+
+def numbers_for(words: DataFrame, table: Broadcast) -> Numbers:
+    """Numbers for the words of vocabulary() that pass the filter. Only those whose halves of hashes are alike, or reserved, come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(2).to_numpy().view(np.uint64)
+            b = b.filter(pa.array(passing(keys, table.value)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((b.column(2).to_numpy().view(np.uint64) >> np.uint64(32)).view(np.int64))], names=["lang", "word", "half"])
+
+    each = words.select("lang", "word", "key").mapInArrow(run, "lang string, word binary, half long")
+    alike = each.groupBy("half").agg(F.count("*").alias("words")).where((F.col("words") > 1) | (F.col("half") >= OTHERS)).select("half")
+    rows = each.join(alike, "half", "left_semi").toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    if len(rows) >= (1 << 32) - OTHERS:
+        raise ValueError("too many words for numbers of 32 bits")
+    others = {key: OTHERS + 1 + i for i, key in enumerate(zip(rows["lang"].to_pylist(), rows["word"].to_pylist(), strict=True))}
+    return Numbers(np.unique(rows["half"].to_numpy()).astype(np.uint64), others)
+
+
+def numbered_words(words: DataFrame, held: Broadcast, least: int) -> DataFrame:
+    """(lang, word, n, number) of the frequent words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(3).to_numpy().view(np.uint64)
+            own = held.value.of(b.column(0).to_pylist(), b.column(1).to_pylist(), keys)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(own.view(np.int64))], names=["lang", "word", "n", "number"])
+
+    return words.where(F.col("n") >= least).mapInArrow(run, "lang string, word binary, n long, number long")
+
+
+def counted(found: DataFrame, size: int, table: Broadcast, numbers: Broadcast) -> DataFrame:
+    """(p0, p1, ..., n): each block's phrases of size words, at least two, by the numbers of their words, two in a column."""
+    names = [*(f"p{i}" for i in range(-(-size // 2))), "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in batches:
+            for k in range(block.num_rows):
+                last = grown(block.slice(k, 1).to_pylist()[0], size, table.value, numbers.value)
+                for at in range(0, len(last.lengths), 1 << 16):
+                    part = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[part].view(np.int64)) for x in last.pairs), pa.array(last.lengths[part])], names=names)
+
+    return found.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """(key) of phrases (p0, p1, ..., n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keys = keys_of([c.to_numpy().view(np.uint64) for c in x.columns])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    return rows.drop("n").mapInArrow(run, "key long")
 
 
 def marked(spark: SparkSession, frequent: DataFrame, before: np.ndarray | None, bits: int) -> np.ndarray:
@@ -177,42 +272,40 @@ def marked(spark: SparkSession, frequent: DataFrame, before: np.ndarray | None,
     return table
 
 
-def texts(found: DataFrame, longest: int, table: Broadcast) -> DataFrame:
-    """(lang, k, phrase, n) of each block's phrases of up to longest words that pass the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                block = b.slice(k, 1).to_pylist()[0]
-                words, before = pa.array(block["words"], pa.large_binary()), None
-                for size, lists in enumerate(grown(block, longest, table.value), 1):
-                    own = words.take(pa.array(lists.words))
-                    if before is not None:
-                        own = pc.binary_join_element_wise(before.take(pa.array(lists.parents)), own, pa.scalar(b" ", pa.large_binary()))
-                    before, lengths = own, lists.lengths
-                    if size == longest:  # the last round's are not filtered yet
-                        chosen = passing(lists.keys, table.value)
-                        own, lengths = own.filter(pa.array(chosen)), lengths[chosen]
-                    phrases = own.cast(pa.large_string()).cast(pa.string())
-                    for at in range(0, len(own), 1 << 16):
-                        part = phrases.slice(at, 1 << 16)
-                        yield pa.RecordBatch.from_arrays([pa.array([block["lang"]] * len(part)), pa.array([size] * len(part), pa.int32()), part, pa.array(lengths[at : at + (1 << 16)])], names=["lang", "k", "phrase", "n"])
-
-    return found.mapInArrow(run, "lang string, k int, phrase string, n long")
-
-
 def phrases(found: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = FILTER_BITS) -> DataFrame:
     """(lang, k, phrase, a) in the shared folder: all phrases of up to longest words that occur least times in their language, of blocks()."""
-    spark, table, held = found.sparkSession, None, None
-    for size in range(1, longest + 1):
-        frequent = counted(found, size, held).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key")
-        table = marked(spark, frequent, table, bits)
-        held = spark.sparkContext.broadcast(table)
+    spark, words = found.sparkSession, vocabulary(found)
+    table = marked(spark, words.where(F.col("n") >= least).select("key"), None, bits)
+    held = spark.sparkContext.broadcast(table)
+    numbers = spark.sparkContext.broadcast(numbers_for(words, held))
+    rounds = []
+    for size in range(2, longest + 1):
+        own = counted(found, size, held, numbers)
+        sums = own.groupBy(*own.columns[:-1]).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        folder = run_dir(spark, "frequent")
+        sums.write.parquet(folder)
+        rounds.append(spark.read.parquet(folder))
+        if size < longest:
+            table = marked(spark, keyed(rounds[-1]), table, bits)
+            held = spark.sparkContext.broadcast(table)
     folder = run_dir(spark, "phrases")
-    texts(found, longest, held).groupBy("lang", "phrase", "k").agg(F.sum("n").alias("a")).where(F.col("a") >= least).write.parquet(folder)
+    written(rounds, numbered_words(words, numbers, least)).write.parquet(folder)
     return spark.read.parquet(folder)
 
 
+def written(rounds: list[DataFrame], words: DataFrame) -> DataFrame:
+    """(lang, k, phrase, a) of frequent words, and of phrases by their words' numbers; each text is made once."""
+    out = words.select("lang", F.lit(1).alias("k"), F.col("word").cast("string").alias("phrase"), F.col("n").alias("a"))
+    for size, rows in enumerate(rounds, 2):
+        for i in range(size):
+            pair = F.col(f"p{i // 2}")
+            number = pair.bitwiseAND(F.lit((1 << 32) - 1)) if i % 2 or i == size - 1 else F.shiftrightunsigned(pair, 32)
+            own = words.select(F.col("number").alias("number"), F.col("word").cast("string").alias(f"w{i}"), *(["lang"] if i == 0 else []))
+            rows = rows.withColumn("number", number).join(own, "number").drop("number")
+        out = out.unionByName(rows.select("lang", F.lit(size).alias("k"), F.concat_ws(" ", *(f"w{i}" for i in range(size))).alias("phrase"), F.col("n").alias("a")))
+    return out
+
+
 def exact(name: str):
     return F.col(name).cast("decimal(19,0)")
 

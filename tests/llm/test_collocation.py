@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandwright.llm import collocation
@@ -58,6 +60,32 @@ def test_arithmetic_passes_64_bits(spark):
     assert row["score"] == 2000000 * (big - 1) // (2 * big + 1)
 
 
+def test_texts_of_phrases_come_once(spark, monkeypatch):
+    """Blocks gave the text of each frequent phrase, so rows grew with blocks times phrases; now they give numbers alone, and texts are joined from words."""
+    made, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, schema, *a, **b: made.append(schema) or plain(self, f, schema, *a, **b))
+    docs = spark.createDataFrame([(i, "en", "a b c d e a b") for i in range(40)], SCHEMA).repartition(4)
+    found = collocation.phrases(collocation.blocks(docs, words_a_block=20), longest=5)
+    assert not [x for x in made if "phrase" in x]
+    rows = sorted((r["k"], r["phrase"], r["a"]) for r in found.collect())
+    expected = Counter()
+    for k in range(1, 6):
+        expected.update(" ".join("a b c d e a b".split()[i : i + k]) for i in range(8 - k))
+    assert rows == sorted((p.count(" ") + 1, p, 40 * n) for p, n in expected.items())
+
+
+def test_words_of_like_hashes_have_their_own_numbers(spark):
+    """No two words have one number, whatever their hashes."""
+    top = collocation.OTHERS << 32
+    keys = [5 << 32, 5 << 32, 5 << 32 | 1, 7 << 32, top | 3]
+    words = [("en", b"a"), ("de", b"a"), ("en", b"b"), ("en", b"c"), ("en", b"d")]
+    table = np.full(1, ~np.uint64(0))
+    rows = spark.createDataFrame([(lang, w, 30, int(np.uint64(k).view(np.int64))) for (lang, w), k in zip(words, keys, strict=True)], "lang string, word binary, n long, key long")
+    numbers = collocation.numbers_for(rows, spark.sparkContext.broadcast(table))
+    found = numbers.of([x for x, _ in words], [w for _, w in words], np.array(keys, np.uint64)).tolist()
+    assert len(set(found)) == 5 and found[3] == 7 and all(collocation.OTHERS < x < 1 << 32 for x in found[:3] + found[4:])
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "en", "a b " * 40), (1, "en", "a b"), (1, "en", "a b")], SCHEMA)
     assert collocation.collocations(docs.limit(0)).collect() == []
