@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from bandwright.operators import aggregates
 MAX_ROUNDS = 40
 #: Centres that one broadcast row holds at most.
 MAX_CENTRES = 10_000
+#: Parts for each core that points are dealt to.
+PARTS_A_CORE = 2
 
 
 @dataclass(frozen=True)
@@ -38,13 +42,52 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sums(rows: DataFrame, strategy: Strategy = HELLINGER) -> DataFrame:
+    """(cluster_id, band, bin, p, n, mark): a row for each task, cluster and shape of (track_id, hist, cluster_id), with the sums and numbers of its transformed cells.
+
+    mark is the exclusive or of the rows' hashes: assignments whose marks differ are not the same.
+    """
+    cells = F.flatten(F.transform("hist", lambda h: F.coalesce(F.transform(h, lambda x: strategy.cell(x).cast("double")), F.array().cast("array<double>"))))
+    shape = F.array_join(F.transform("hist", lambda h: F.coalesce(F.array_size(h), F.lit(0)).cast("string")), ",")
+    source = rows.select(F.col("cluster_id").cast("long").alias("cluster_id"), F.coalesce(shape, F.lit("")).alias("shape"), F.coalesce(cells, F.array().cast("array<double>")).alias("cells"), F.xxhash64("track_id", "cluster_id").alias("mark"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        states: dict[tuple[int, str], list] = {}
+        for b in batches:
+            shapes = b.column(1).dictionary_encode()
+            clusters, which, marks = b.column(0).to_numpy(), shapes.indices.to_numpy(), b.column(3).to_numpy()
+            order = np.lexsort((which, clusters))
+            turns = np.flatnonzero((np.diff(clusters[order]) != 0) | (np.diff(which[order]) != 0)) + 1
+            for places in np.split(order, turns) if len(order) else []:
+                key = int(clusters[places[0]]), shapes.dictionary[int(which[places[0]])].as_py()
+                flat = b.column(2).take(pa.array(places)).flatten()
+                there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(places), -1)
+                values = np.where(there, flat.to_numpy(zero_copy_only=False).reshape(len(places), -1), 0.0)
+                own = [values.sum(axis=0), there.sum(axis=0), np.bitwise_xor.reduce(marks[places])]
+                before = states.get(key)
+                states[key] = own if before is None else [before[0] + own[0], before[1] + own[1], before[2] ^ own[2]]
+        for (cluster, text), (p, n, mark) in states.items():
+            sizes = [int(x) for x in text.split(",") if x]
+            band, place = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([np.arange(0), *map(np.arange, sizes)])
+            lists = [pa.array([x.tolist()], pa.list_(kind)) for x, kind in ((band, pa.int32()), (place, pa.int32()), (p, pa.float64()), (n, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([cluster]), *lists, pa.array([int(mark)], pa.int64())], names=["cluster_id", "band", "bin", "p", "n", "mark"])
+
+    return source.mapInArrow(run, "cluster_id long, band array<int>, bin array<int>, p array<double>, n array<long>, mark long")
+
+
+def means(states: DataFrame, strategy: Strategy = HELLINGER) -> DataFrame:
+    """(cluster_id, hist, mark): cell by cell the back-transformed mean of sums(), and a number that the assignment decides."""
+    cells = states.select("cluster_id", "mark", F.explode(F.arrays_zip("band", "bin", "p", "n")).alias("c")).select("cluster_id", "mark", "c.*")
+    found = cells.groupBy("cluster_id", "band", "bin").agg(strategy.back(F.sum("p") / F.nullif(F.sum("n"), F.lit(0))).alias("p"), F.bit_xor("mark").alias("mark"))
+    bands = found.groupBy("cluster_id", "band").agg(F.array_sort(F.collect_list(F.struct("bin", "p"))).alias("h"), F.max("mark").alias("mark"))
+    whole = bands.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("band", "h"))).alias("H"), F.max("mark").alias("mark"))
+    return whole.select("cluster_id", F.transform("H", lambda b: F.transform(b["h"], lambda x: x["p"])).alias("hist"), "mark")
+
+
 def centroids(points: DataFrame, assigned: DataFrame, strategy: Strategy = HELLINGER) -> DataFrame:
-    """(cluster_id, hist): cell by cell the back-transformed mean. Cells are averaged by partial aggregation."""
-    cells = points.join(assigned, "track_id").select("cluster_id", F.posexplode("hist").alias("band", "h")).select("cluster_id", "band", F.posexplode("h").alias("bin", "p"))
-    means = cells.groupBy("cluster_id", "band", "bin").agg(strategy.back(F.avg(strategy.cell(F.col("p")))).alias("p"))
-    bands = means.groupBy("cluster_id", "band").agg(F.array_sort(F.collect_list(F.struct("bin", "p"))).alias("h"))
-    whole = bands.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("band", "h"))).alias("H"))
-    return whole.select("cluster_id", F.transform("H", lambda b: F.transform(b["h"], lambda x: x["p"])).alias("hist"))
+    """(cluster_id, hist): cell by cell the back-transformed mean. Tasks sum their points' cells, and only the sums are shuffled."""
+    kind = assigned.schema["cluster_id"].dataType
+    return means(sums(points.join(assigned, "track_id"), strategy), strategy).drop("mark").withColumn("cluster_id", F.col("cluster_id").cast(kind))
 
 
 def merged_centroids(points: DataFrame, assigned: DataFrame, aggregate: aggregates.Aggregate | None = None) -> DataFrame:
@@ -56,13 +99,22 @@ def merged_centroids(points: DataFrame, assigned: DataFrame, aggregate: aggregat
     return found.join(bins, "cluster_id").select("cluster_id", bands.alias("hist"))
 
 
+def nearest(points: DataFrame, strategy: Strategy = HELLINGER, **centres: DataFrame) -> DataFrame:
+    """(track_id, hist) and a column for each of centres (cluster_id, hist), few: the nearest by distance to 9 digits, the lowest cluster on ties."""
+    out, kept = points.select("track_id", "hist"), ["track_id", "hist"]
+    for name, each in centres.items():
+        one = F.broadcast(each.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "hist"))).alias("centres")))
+        near = lambda c: F.struct(rounded(strategy.distance(F.col("hist"), c["hist"]), 9).alias("d"), c["cluster_id"].alias("cluster_id"))
+        out = out.join(one).select(*kept, F.array_min(F.transform("centres", near))["cluster_id"].alias(name))
+        kept = [*kept, name]
+    return out
+
+
 def assign(points: DataFrame, centres: DataFrame, strategy: Strategy = HELLINGER) -> DataFrame:
     """(track_id, cluster_id): nearest centre by distance to 9 digits, the lowest cluster on ties. centres: (cluster_id, hist), few."""
     if centres.count() > MAX_CENTRES:
         raise ValueError(f"more than {MAX_CENTRES} centres")
-    one = F.broadcast(centres.agg(F.array_sort(F.collect_list(F.struct("cluster_id", "hist"))).alias("centres")))
-    near = lambda c: F.struct(rounded(strategy.distance(F.col("hist"), c["hist"]), 9).alias("d"), c["cluster_id"].alias("cluster_id"))
-    return points.select("track_id", "hist").join(one).select("track_id", F.array_min(F.transform("centres", near))["cluster_id"].alias("cluster_id"))
+    return nearest(points, strategy, cluster_id=centres).drop("hist")
 
 
 def spread_seeds(points: DataFrame, k: int, strategy: Strategy = HELLINGER, first: int | None = None) -> DataFrame:
@@ -86,18 +138,26 @@ def spread_seeds(points: DataFrame, k: int, strategy: Strategy = HELLINGER, firs
 
 
 def kmeans(points: DataFrame, k: int, strategy: Strategy = HELLINGER, rounds: int = MAX_ROUNDS) -> tuple[DataFrame, bool]:
-    """((track_id, cluster_id), whether it converged): stops when no assignment changes. An empty cluster keeps its centre."""
+    """((track_id, cluster_id), whether it converged): stops when no assignment changes. An empty cluster keeps its centre.
+
+    Points are dealt to all cores once. A round is one pass over them, in which they are neither shuffled nor joined with their
+    assignment: it leaves a few sums for each task, and each cluster's mark. Where these are as before, the assignments by both
+    rounds' centres are compared.
+    """
     if k >= points.count():
         raise ValueError("k must be smaller than the number of points")
-    points = shared(points.select("track_id", "hist"))
-    centres = spread_seeds(points, k, strategy).select("cluster_id", "hist")
-    assigned = shared(assign(points, centres, strategy))
-    for _ in range(rounds):
-        new = centroids(points, assigned, strategy)
-        centres = shared(new.unionByName(centres.join(new.select("cluster_id"), "cluster_id", "left_anti")))
-        after = shared(assign(points, centres, strategy))
-        changed = after.join(assigned.withColumnRenamed("cluster_id", "old"), "track_id").where("cluster_id <> old")
-        assigned, still = after, changed.isEmpty()
-        if still:
-            return assigned, True
-    return assigned, False
+    if k > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
+    spark = points.sparkSession
+    points = shared(points.select("track_id", "hist").repartition(max(8, PARTS_A_CORE * spark.sparkContext.defaultParallelism)))
+    seeds = spread_seeds(points, k, strategy).select("cluster_id", "hist")
+    held, before, mark = dict(map(tuple, seeds.collect())), None, None
+    for done in range(rounds + 1):
+        centres = spark.createDataFrame(list(held.items()), seeds.schema)  # k rows, which each round broadcasts
+        found = {x["cluster_id"]: x for x in means(sums(nearest(points, strategy, cluster_id=centres), strategy), strategy).collect()} if done < rounds or mark is not None else {}
+        own = {c: x["mark"] for c, x in found.items()}
+        still = own == mark and nearest(points, strategy, cluster_id=centres, old=before).where("cluster_id <> old").isEmpty()
+        if still or done == rounds:
+            return shared(assign(points, centres, strategy)), still
+        before, mark = centres, own
+        held |= {c: x["hist"] for c, x in found.items()}
