@@ -1,8 +1,8 @@
 """Token ids of whole texts, computed word by word with the tokenizers library.
 
 Where a vocabulary's pre-tokenizer never joins characters across ASCII white space, a text's ids are those of its words in
-order; a probe at the start decides, and other vocabularies take whole texts. Words repeat: each Python worker keeps the ids of the words seen last, within a bound, and hands the others to the
-library many at a time. Words of letters with trailing punctuation are cut into pre-tokens here, as the vocabulary's
+order; a probe at the start decides, and other vocabularies take whole texts. Words repeat: each Python worker keeps the ids
+of the words seen last, within a bound, the older ones of them as arrays, and hands the others to the library many at a time. Words of letters with trailing punctuation are cut into pre-tokens here, as the vocabulary's
 pre-tokenizer would, and go to its BPE model straight away; any other word takes the whole tokenizer.
 """
 
@@ -18,8 +18,8 @@ ENDS = b".,;:!?#$%&*|+=-"
 LATIN = frozenset("abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß")
 #: How special tokens start.
 SPECIAL = b"<|"
-#: Words handed to the library at once.
-AT_ONCE = 512
+#: Words that are looked up together, and those handed to the library at once.
+TOGETHER, AT_ONCE = 16_384, 512
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -29,10 +29,40 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b if b in plain else next(spare)) for b in range(256)}
 
 
+class Shelf:
+    """A generation of words and their ids as arrays, which is only looked up: some 45 bytes a word, where a dict takes 160."""
+
+    def __init__(self, known: dict[bytes, bytes]):
+        hashes = np.fromiter(map(hash, known), np.int64, len(known))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.words, self.word_at = self.joined(list(known), order)
+        self.ids, self.id_at = self.joined(list(known.values()), order)
+
+    @staticmethod
+    def joined(parts: list[bytes], order: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The parts in order, and where each starts, and the last ends."""
+        starts = np.zeros(len(parts) + 1, np.uint32)
+        np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))[order], out=starts[1:])
+        return b"".join(map(parts.__getitem__, order.tolist())), starts
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(word, its ids) of the words that are here. A word whose hash an earlier one has may be missed."""
+        hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        met = np.flatnonzero(self.hashes[at] == hashes)
+        at = at[met]
+        places = (self.word_at[at], self.word_at[at + 1], self.id_at[at], self.id_at[at + 1])
+        for i, a, b, c, d in zip(met.tolist(), *(x.tolist() for x in places), strict=True):
+            if self.words[a:b] == words[i]:
+                yield words[i], self.ids[c:d]
+
+
 class WordTokenizer:
-    """encode() gives a text's ids as little-endian 32-bit numbers. Two generations of words are kept, LIMIT each."""
+    """encode() gives a text's ids as little-endian 32-bit numbers. Generations of LIMIT words are kept: one at hand, SHELVES as arrays."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
+    SHELVES = 3
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -42,7 +72,7 @@ class WordTokenizer:
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.letters = {k: v for k, v in byte_alphabet().items() if k != 0x20}
         self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.shelves: list[Shelf] = []
         self.ends: dict[bytes, bytes] = {}
         self.direct = False
         probe = [w.encode() for w in ("the", "Élève", "straße,", "ÖL.", "Mañana!", "a", "Œuvre", "x1", "stop!!", "##$$", "a+=-")]
@@ -75,22 +105,21 @@ class WordTokenizer:
     def fresh(self, words: list[bytes]) -> list[bytes]:
         """The ids of words that are not at hand."""
         out: list[bytes | None] = [None] * len(words)
-        places, counts, pieces = [], [], []
+        places, tails, pieces = [], [], []
         for i, w in enumerate(words):
             cut = self.cut(w) if self.direct else None
             if cut is None:
                 out[i] = self.whole(w)
             else:
                 places.append(i)
-                counts.append(len(cut))
-                pieces.extend(cut)
+                pieces.append(cut[0])
+                tails.append(self.end(cut[1].encode()) if len(cut) > 1 else b"")
         if places:
             found = self.pieces.encode(" ".join(pieces).translate(self.letters), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
-            first = np.cumsum([0, *counts])[:-1]
-            starts = np.searchsorted(np.array(found.word_ids), [*first.tolist(), len(pieces)]) * 4
+            starts = (np.searchsorted(np.array(found.word_ids), np.arange(len(pieces) + 1)) * 4).tolist()
             for k, i in enumerate(places):
-                out[i] = ids[starts[k] : starts[k + 1]]
+                out[i] = ids[starts[k] : starts[k + 1]] + tails[k]
         return out
 
     def end(self, run: bytes) -> bytes:
@@ -102,23 +131,37 @@ class WordTokenizer:
             found = self.ends[run] = self.fresh([run])[0]
         return found
 
+    def shelved(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of those words that are on a shelf; words keeps the others."""
+        found: dict[bytes, bytes] = {}
+        for shelf in self.shelves:
+            here = dict(shelf.find(list(words)))
+            words.difference_update(here)
+            found |= here
+        return found
+
     def learn(self, words: Iterable[bytes]) -> None:
-        young, old, missing = self.young, self.old, []
-        for w in set(words).difference(young):
-            if w in old:
-                young[w] = old[w]
-                continue
-            body = w.rstrip(ENDS)
-            if len(body) < len(w) and self.direct and body.isalpha() and (known := young.get(body) or old.get(body)):
-                young[w] = known + self.end(w[len(body) :])
-            else:
-                missing.append(w)
+        young = self.young
+        new = set(words).difference(young)
+        young.update(self.shelved(new))
+        bodies = {}
+        if self.direct:
+            for w in new:
+                body = w.rstrip(ENDS)
+                if len(body) < len(w) and body.isalpha():
+                    bodies[w] = body
+        known = self.shelved(set(bodies.values()).difference(young))
+        for w, body in bodies.items():
+            if ids := young.get(body) or known.get(body):
+                young[w] = ids + self.end(w[len(body) :])
+                new.discard(w)
+        missing = list(new)
         for i in range(0, len(missing), AT_ONCE):
             part = missing[i : i + AT_ONCE]
             self.young.update(zip(part, self.fresh(part), strict=True))
 
     def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
-        """The ids of each UTF-8 text, as many texts at a time as hold a few thousand words."""
+        """The ids of each UTF-8 text, as many texts at a time as hold some TOGETHER words."""
         if not self.by_word:
             yield from map(self.whole, texts)
             return
@@ -129,14 +172,15 @@ class WordTokenizer:
                 text = text.lower()
             pending.append(words := text.split())
             size += len(words)
-            if size >= 8 * AT_ONCE:
+            if size >= TOGETHER:
                 yield from self.joined(pending)
                 pending, size = [], 0
         yield from self.joined(pending)
 
     def joined(self, pending: list[list[bytes]]) -> Iterator[bytes]:
         if len(self.young) >= self.LIMIT:
-            self.old, self.young = self.young, {}
+            self.shelves = [Shelf(self.young), *self.shelves[: self.SHELVES - 1]]
+            self.young = {}
         self.learn(chain.from_iterable(pending))
         for words in pending:
             yield b"".join(map(self.young.__getitem__, words))

@@ -1,5 +1,6 @@
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -33,6 +34,26 @@ def test_tokenizer_equals_library():
     assert t.direct and [np.frombuffer(f, "<u4").tolist() + [2] for f in found] == reference(texts, 2)
 
 
+def test_words_at_hand_are_bounded_and_small():
+    """pipeline, packing: a worker's words took some 120 MB, two generations of 400,000 in dicts; now below 65 MB."""
+    t = tokens.WordTokenizer(PATH)
+    t.fresh = lambda words: [b"12345678" + w[-12:] for w in words]  # the memory of words, not the library
+    tracemalloc.start()
+    most = 0
+    for i in range(0, 900_000, 4_000):
+        text = b" ".join(b"word%08d" % k for k in range(i, i + 4_000))
+        assert next(t.encode_all([text])) == b"".join(b"12345678" + w[-12:] for w in text.split())
+        most = max(most, tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert most < 65e6
+
+
+def test_shelved_words_keep_their_ids():
+    known = {b"w%d" % i: i.to_bytes(4 * (1 + i % 3), "little") for i in range(1000)}
+    shelf = tokens.Shelf(known)
+    assert dict(shelf.find([b"x", *known, b"", b"w1000"])) == known and dict(shelf.find([])) == {} and dict(shelf.find([b"x"])) == {}
+
+
 def test_vocabularies_that_join_words_take_whole_texts(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
