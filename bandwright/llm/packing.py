@@ -109,11 +109,12 @@ class Packer:
 PIECES = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint,offset:bigint>>"
 
 
-def sequences(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def sequences(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, kept: tuple[int, int] | None = None) -> DataFrame:
     """(sequence_id, n_tokens, ids, pieces) of docs (doc_id, text): ids as little-endian 32-bit numbers.
 
     Each document's ids end with end_id; a null or empty text is that id alone. Null and repeated ids are packed as they
     come. Sequences shorter than the capacity have a power of two as length; capacity must be one too.
+    kept bounds the words that a worker keeps (`tokens.FEW`); it changes no result.
     """
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
@@ -132,7 +133,7 @@ def sequences(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPAC
         packer, end = Packer(capacity), np.array([end_id], np.uint32)
         first = TaskContext.get().partitionId() << 33
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), tokenizer(path).encode_all(texts_of(b.column(1))), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), tokenizer(path, kept).encode_all(texts_of(b.column(1))), strict=True):
                 packer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), end))
                 if len(packer.done) >= 256:
                     yield rows(packer.done, first)

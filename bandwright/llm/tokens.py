@@ -61,12 +61,13 @@ class Shelf:
 class WordTokenizer:
     """encode() gives a text's ids as little-endian 32-bit numbers. Generations of LIMIT words are kept: one at hand, SHELVES as arrays."""
 
-    LIMIT = 150_000
-    SHELVES = 3
+    LIMIT, SHELVES = 400_000, 1
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: tuple[int, int] | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        if kept:
+            self.LIMIT, self.SHELVES = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = Tokenizer(self.tokenizer.model)
         self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -186,14 +187,16 @@ class WordTokenizer:
             yield b"".join(map(self.young.__getitem__, words))
 
 
-_ready: dict[str, WordTokenizer] = {}
+#: LIMIT and SHELVES where other steps share the workers: less memory, more time.
+FEW = 150_000, 3
+_ready: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker and vocabulary file."""
-    if path not in _ready:
-        _ready[path] = WordTokenizer(path)
-    return _ready[path]
+def tokenizer(path: str, kept: tuple[int, int] | None = None) -> WordTokenizer:
+    """One for each worker, vocabulary file and bound on the words kept."""
+    if (path, kept) not in _ready:
+        _ready[path, kept] = WordTokenizer(path, kept)
+    return _ready[path, kept]
 
 
 def default_path() -> str:

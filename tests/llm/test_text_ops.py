@@ -36,7 +36,7 @@ def test_tokenizer_equals_library():
 
 def test_words_at_hand_are_bounded_and_small():
     """pipeline, packing: a worker's words took some 120 MB, two generations of 400,000 in dicts; now below 65 MB."""
-    t = tokens.WordTokenizer(PATH)
+    t = tokens.WordTokenizer(PATH, tokens.FEW)
     t.fresh = lambda words: [b"12345678" + w[-12:] for w in words]  # the memory of words, not the library
     tracemalloc.start()
     most = 0
